@@ -129,7 +129,7 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID)
     filesystem(out)[0].create_dir(filesystem(out)[1], recursive=True)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(common.shuffle_partitions(spark), "doc_id", "text")
+        .repartitionByRange(common.shuffle_partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
 
