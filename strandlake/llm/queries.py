@@ -21,6 +21,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).drop("part")
 
 
+def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm import quality_pu
+
+    return quality_pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm import decontaminate
 
@@ -29,6 +35,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
+    "op7_quality_pu": op7_quality_pu,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
