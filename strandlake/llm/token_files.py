@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ END_ID = 2
 #: pre-tokenizer starts a new piece there whatever surrounds it.
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 #: Pieces that a worker remembers. Only speed depends on it.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
+#: A letter before one of these ends a piece as well.
+STOPS = ".,;:!?"
+#: Stands for a space at which a text is cut; a text that holds it is encoded as it is.
+MARK = "\0"
 PART = "part int, n_docs long, n_null_ids long, n_ids long, first_doc long"
 ROW = "doc_id long, start long, n_tokens long, ids_crc32 long, part int"
 
@@ -56,37 +61,61 @@ class Encoder:
         added = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in kind.get("added_tokens", []))
         self.by_piece = not (whole or added)
         self.known: dict[str, bytes] = {}
+        self.stops = dict(zip(STOPS, self._packed(list(STOPS))))
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Encodes many pieces as one text; a piece without inner space begins where an id opens with a space."""
-        plain = [p for p in pieces if " " not in p]
+        known = self.known
+        ended = {p for p in pieces if p and p[-1] in STOPS and p[-2:-1].isalpha()}
+        need = (pieces - ended) | {p[:-1] for p in ended if p[:-1] not in known}
+        plain = [p for p in need if " " not in p]
         for k in range(0, len(plain), 2000):
             some = plain[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some):
-                self.known.update(zip(some, self._packed([" " + p for p in some])))
+                known.update(zip(some, self._packed([" " + p for p in some])))
                 continue
             raw, w = ids.tobytes(), self.dtype.itemsize
             edge = (np.append(at, len(ids)) * w).tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, edge, edge[1:]))))
-        if odd := [p for p in pieces if " " in p]:
-            self.known.update(zip(odd, self._packed([" " + p for p in odd])))
+            known.update(zip(some, map(raw.__getitem__, map(slice, edge, edge[1:]))))
+        if odd := [p for p in need if " " in p]:
+            known.update(zip(odd, self._packed([" " + p for p in odd])))
+        for p in ended:
+            known[p] = known[p[:-1]] + self.stops[p[-1]]
+
+    def _marked(self, text: str) -> str:
+        """The text with MARK for each space at which it may be cut."""
+        if text.isascii() and "  " not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable():
+            return text.replace(" ", MARK)  # each space then stands between two visible characters, or at an end
+        return CUT.sub(MARK, text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
+        """Looks up the distinct pieces of all texts, and puts their ids together by array operations."""
+        if not self.by_piece or any(MARK in t for t in texts):
             return self._packed(texts)
         if len(self.known) > REMEMBER:
             self.known.clear()
-        known = self.known
-        cut = [CUT.split(t) for t in texts]
-        if need := {p for pieces in cut for p in pieces[1:] if p not in known}:
-            self._learn(list(need))
-        first = self._packed([pieces[0] for pieces in cut])
-        return [a + b"".join(map(known.__getitem__, pieces[1:])) for a, pieces in zip(first, cut)]
+        parted = [self._marked(t).partition(MARK) for t in texts]
+        first = self._packed([p[0] for p in parted])
+        lists = pc.split_pattern(pa.array([p[2] if p[1] else None for p in parted], pa.large_string()), MARK)
+        offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        packed = list(map(self.known.get, pieces))
+        if None in packed:
+            self._learn({p for p, x in zip(pieces, packed) if x is None})
+            packed = list(map(self.known.__getitem__, pieces))
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        each = size[code]
+        after = np.cumsum(each)
+        total = int(after[-1]) if len(after) else 0
+        ids = np.frombuffer(b"".join(packed), self.dtype)[np.repeat(start[code] - after + each, each) + np.arange(total)]
+        edge = np.concatenate([[0], after])[offsets].tolist()
+        return [a + ids[x:y].tobytes() for a, x, y in zip(first, edge, edge[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,7 +134,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, most: int = 6 << 20) -> Iterator[tuple[list, list]]:
     """Small runs of (doc ids, texts), by rows and by characters: the texts of one run are in memory at once."""
     for batch in batches:
         docs, column = batch.column("doc_id").to_pylist(), batch.column("text")
