@@ -27,6 +27,12 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm import decontaminate
 
@@ -36,6 +42,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_quality_pu": op7_quality_pu,
+    "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
