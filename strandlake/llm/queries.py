@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm import token_counts
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.token_files import token_files
 
@@ -47,6 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op6_token_files": op6_token_files,
     "op7_quality_pu": op7_quality_pu,
     "op9_mixing": op9_mixing,
