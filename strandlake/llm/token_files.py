@@ -32,6 +32,7 @@ END_ID = 2
 #: A text may be cut before a space that stands between two of these characters: no token crosses such a place, as the byte-level
 #: pre-tokenizer starts a new piece there whatever surrounds it.
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+ODD = re.compile(r"[^!-~\w \n]")
 #: Pieces that a worker remembers. Only speed depends on it.
 REMEMBER = 1_000_000
 #: A letter before one of these ends a piece as well.
@@ -47,7 +48,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -60,6 +61,9 @@ class Encoder:
         whole = kind.get("normalizer") or model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True)
         added = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in kind.get("added_tokens", []))
         self.by_piece = not (whole or added)
+        if self.by_piece:
+            self.by_space = Tokenizer.from_file(path)
+            self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.stops = dict(zip(STOPS, self._packed(list(STOPS))))
 
@@ -71,10 +75,10 @@ class Encoder:
         known = self.known
         ended = {p for p in pieces if p and p[-1] in STOPS and p[-2:-1].isalpha()}
         need = (pieces - ended) | {p[:-1] for p in ended if p[:-1] not in known}
-        plain = [p for p in need if " " not in p]
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+        letters = [p for p in need if p.isalpha()]  # one piece to the pre-tokenizer's pattern, which needn't be run
+        plain = [p for p in need if not p.isalpha() and " " not in p]
+        for tokenizer, some in [(t, x[k : k + 2000]) for t, x in ((self.by_space, letters), (self.tokenizer, plain)) for k in range(0, len(x), 2000)]:
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some):
                 known.update(zip(some, self._packed([" " + p for p in some])))
@@ -89,7 +93,7 @@ class Encoder:
 
     def _marked(self, text: str) -> str:
         """The text with MARK for each space at which it may be cut."""
-        if text.isascii() and "  " not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable():
+        if "  " not in text and " \n" not in text and "\n " not in text and (text.replace("\n", "").isprintable() if text.isascii() else not ODD.search(text)):
             return text.replace(" ", MARK)  # each space then stands between two visible characters, or at an end
         return CUT.sub(MARK, text)
 
@@ -103,11 +107,12 @@ class Encoder:
         first = self._packed([p[0] for p in parted])
         lists = pc.split_pattern(pa.array([p[2] if p[1] else None for p in parted], pa.large_string()), MARK)
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
         packed = list(map(self.known.get, pieces))
-        if None in packed:
-            self._learn({p for p, x in zip(pieces, packed) if x is None})
-            packed = list(map(self.known.__getitem__, pieces))
+        if missing := [k for k, x in enumerate(packed) if x is None]:
+            self._learn({pieces[k] for k in missing})
+            for k in missing:
+                packed[k] = self.known[pieces[k]]
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
         start = np.cumsum(size) - size
         each = size[code]
