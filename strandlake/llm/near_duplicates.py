@@ -278,18 +278,17 @@ def _join_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _EDGE = "a long, b long"
 
 
-def _complete_lists(memberships: DataFrame, signed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs across the parts of lists that were joined in parts: what is outside a list's largest component against all of its parts."""
+def _complete_lists(memberships: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Joins across the parts of lists that were joined in parts: what is outside a list's largest component against all of its parts."""
     long = memberships.where("parts > 1")
     if long.isEmpty():
-        return edges
-    labels = connected.components(edges)
+        return labels
     known = common.saved(long.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "long-lists")
     by = known.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
     main = by.groupBy("list").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
     left = common.saved(known.join(main, "list"), "long-lists")
     if left.isEmpty():
-        return edges
+        return labels
     strays = left.where("label <> main")
     pieces = strays.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("pieces"))
     left = left.join(pieces, "list")
@@ -298,7 +297,7 @@ def _complete_lists(memberships: DataFrame, signed: DataFrame, edges: DataFrame)
     probes = left.where("label <> main").withColumn("_piece", piece).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
     both = members.unionByName(probes).withColumn("part", (F.col("part") * F.col("pieces") + F.col("_piece")).cast("int")).select("list", "part", "cid", "label", "probe")
     found = both.join(signed, "cid").repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(_join_lists, _EDGE)
-    return common.saved(edges.union(found).distinct(), "list-edges")
+    return connected.extended(labels, found)
 
 
 def _candidates(docs: DataFrame, described: DataFrame, signed: DataFrame) -> DataFrame:
@@ -307,47 +306,42 @@ def _candidates(docs: DataFrame, described: DataFrame, signed: DataFrame) -> Dat
     memberships = common.saved(gathered.mapInArrow(partial(_lists, most=LIST), "list long, part int, parts int, cid long"), "lists").dropDuplicates(["list", "cid"])
     memberships = common.saved(memberships, "lists")
     ready = memberships.select("list", "part", "cid").join(signed, "cid").repartition("list", "part").sortWithinPartitions("list", "part")
-    edges = common.saved(ready.mapInArrow(_join_lists, _EDGE).distinct(), "list-edges")
-    return _complete_lists(memberships, signed, edges)
+    return _complete_lists(memberships, signed, connected.components(ready.mapInArrow(_join_lists, _EDGE)))
 
 
 def _exact(docs: DataFrame, classes: DataFrame, coarse: DataFrame) -> DataFrame:
-    """Links that connect the true components within the coarse ones."""
+    """(node, label): the true components within the coarse ones."""
     blocks = coarse.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     chosen = coarse.join(blocks, "coarse").join(classes.select("cid", F.col("first_doc").alias("doc_id")), "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     texts = _binary(docs).join(chosen.hint("shuffle_hash"), "doc_id").select("cid", "coarse", "block", "blocks", F.lit(0).alias("piece"), "text")
     texts = common.saved(texts, "candidate-texts")
 
     def joined(df: DataFrame) -> DataFrame:
-        return common.saved(df.repartition("coarse", "block", "piece").sortWithinPartitions("coarse", "block", "piece").mapInArrow(_join_sets, _EDGE).distinct(), "links")
+        return df.repartition("coarse", "block", "piece").sortWithinPartitions("coarse", "block", "piece").mapInArrow(_join_sets, _EDGE)
 
-    found = joined(texts.drop("blocks"))
+    labels = connected.components(joined(texts.drop("blocks")))
     several = texts.where("blocks > 1")
     if several.isEmpty():
-        return found
+        return labels
+    keys = common.saved(several.select("cid", "coarse", "block").distinct(), "keys")
+    labelled = lambda: keys.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        of = connected.components(edges).withColumnRenamed("node", "cid")
-        return several.join(of, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-
-    ids = common.saved(labelled(found).select("cid", "coarse", "block", "label"), "labels")
-    first = ids.groupBy("coarse", "block", "label").agg(F.min("cid").alias("cid"))
+    first = labelled().groupBy("coarse", "block", "label").agg(F.min("cid").alias("cid"))
     n = first.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     first = first.join(n, "coarse").withColumn("_b", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("n")).cast("int")).select("cid", "_b", "label")
-    found = common.saved(found.union(joined(several.join(first, "cid").withColumn("block", F.col("_b")).drop("_b", "blocks"))).distinct(), "links")
+    labels = connected.extended(labels, joined(several.join(first, "cid").withColumn("block", F.col("_b")).drop("_b", "blocks")))
 
-    state = common.saved(labelled(found).select("cid", "coarse", "label").distinct(), "labels")
+    state = labelled().drop("block")
     by = state.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("n"))
     main = by.groupBy("coarse").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_ = common.saved(state.join(main, "coarse"), "labels")
+    open_ = common.saved(state.join(main, "coarse"), "open")
     if open_.isEmpty():
-        return found
+        return labels
     pieces = open_.where("label <> main").groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces"))
     rows = several.join(open_.drop("coarse"), "cid").join(pieces, "coarse")
     members = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("probe", F.lit(False))
     probes = rows.where("label <> main").withColumn("piece", F.pmod(F.xxhash64("cid", F.lit(6)), F.col("pieces")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    across = members.unionByName(probes).drop("blocks", "pieces", "main")
-    return found.union(joined(across))
+    return connected.extended(labels, joined(members.unionByName(probes).drop("blocks", "pieces", "main")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -363,10 +357,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = described.where("segment is null and cid is not null and doc_id is not null")
     classes = common.saved(usable.groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")), "classes")
     signed = classes.select("cid", "n_shingles", "bitmap")
-    edges = _candidates(docs.where("doc_id is not null"), described, signed)
-    coarse = common.saved(connected.components(edges).select(F.col("node").alias("cid"), F.col("label").alias("coarse")), "coarse")
-    links = _exact(docs, classes, coarse)
-    labels = connected.components(links).withColumnRenamed("node", "cid")
+    coarse = _candidates(docs.where("doc_id is not null"), described, signed).select(F.col("node").alias("cid"), F.col("label").alias("coarse"))
+    labels = _exact(docs, classes, coarse).withColumnRenamed("node", "cid")
     joined = classes.select("cid", "first_doc").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of = common.saved(joined.join(least, "label").select("cid", "component_id"), "components")
