@@ -57,6 +57,12 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm import line_dedup
+
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm import mixing
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_quality_pu": op7_quality_pu,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
