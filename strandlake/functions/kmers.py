@@ -67,11 +67,11 @@ def vectorised_features():
         p = n / max(n.sum(), 1)
         return [float(x) for x in np.where(p > 0, -p * np.log(np.where(p > 0, p, 1)) / math.log(4), 0)]
 
-    @F.pandas_udf("array<double>")
-    def udf(seq: pd.Series) -> pd.Series:
+    def features_of(seq):
         return seq.fillna("").map(of)
 
-    return udf
+    features_of.__annotations__ = {"seq": pd.Series, "return": pd.Series}  # names of this module are not resolved in workers
+    return F.pandas_udf(features_of, "array<double>")
 
 
 def trigrams(df: DataFrame, seq: str = "seq", n: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ PRIME = 2147483647
 
 def arithmetic(id: Column, seed: int) -> Column:
     """A number from 0 to 2**31 - 2 by a multiplicative rule that any engine can repeat."""
-    return F.pmod(F.pmod(id, F.lit(PRIME)) * 48271 + F.lit(seed * 69621 + 11), F.lit(PRIME)).cast("long")
+    return F.pmod(F.pmod(id, F.lit(PRIME)) * 742938285 + F.lit(seed * 69621 + 11), F.lit(PRIME)).cast("long")
 
 
 def random_intervals(spark: SparkSession, n: int, seed: int = 17, low: float = 1e4, high: float = 2e8) -> DataFrame:

@@ -46,12 +46,18 @@ class SvmModel:
         for k, w in self.params.class_weight.items():
             weight = F.when(F.col(self.label) == k, float(w)).otherwise(weight)
         rows = df.count()
+        seen = [r[0] for r in df.select(self.label).distinct().limit(2).collect()]
+        self.only = int(seen[0]) if len(seen) == 1 else None
+        if self.only is not None:  # one class: nothing to part
+            return self
         svc = LinearSVC(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / (max(self.params.C, 1e-9) * max(rows, 1)), tol=max(self.params.tol, 1e-6), maxIter=50, predictionCol="prediction", rawPredictionCol="_raw")
         self.model = svc.fit(self._inputs(df).withColumn("_y", F.col(self.label).cast("double")).withColumn("_w", weight))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` (int) and ``score``, a logistic function of the decision value."""
+        if self.only is not None:
+            return df.withColumn("score", F.lit(float(self.only))).withColumn("prediction", F.lit(self.only))
         out = self.model.transform(self._inputs(df))
         raw = vector_to_array("_raw")[1]
         return out.withColumn("score", 1 / (1 + F.exp(-raw))).withColumn("prediction", F.col("prediction").cast("int")).drop("_x", "_raw")

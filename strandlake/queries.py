@@ -429,7 +429,7 @@ def min_max_scores(spark, d):  # F21
     return t.withColumn("v", F.round("v", 6))
 
 
-_HASH = "(({id} % 2147483647) * 48271 + {add}) % 2147483647"
+_HASH = "(({id} % 2147483647) * 742938285 + {add}) % 2147483647"
 
 
 @query(f"SELECT i AS id, 10000 + ({_HASH.format(id='i', add=17 * 69621 + 11)}) % 199990000 AS s, 10000 + ({_HASH.format(id='i', add=17 * 69621 + 11)}) % 199990000 + 16 + ({_HASH.format(id='i', add=18 * 69621 + 11)}) % 1585 AS e FROM range(0, 2000) r(i)")
