@@ -60,13 +60,13 @@ def test_models(spark):
 def test_boundary_plan(spark):
     rng = np.random.default_rng(2)
     letters = lambda n, p: "".join(rng.choice(list("ACGT"), n, p=p))
-    seqs = [(k, letters(200, [0.25] * 4) + letters(40, [0.05, 0.45, 0.45, 0.05]) + letters(200, [0.25] * 4)) for k in range(60)]
+    seqs = [(k, letters(200, [0.25] * 4) + letters(40, [0.05, 0.45, 0.45, 0.05]) + letters(200, [0.25] * 4)) for k in range(300)]
     contigs = spark.createDataFrame(seqs, "seqid long, seq string")
-    positive = spark.range(60).select(F.col("id").alias("seqid"), F.lit(200).cast("long").alias("s"), F.lit(240).cast("long").alias("e"))
-    negative = spark.range(60).select(F.col("id").alias("seqid"), F.lit(20).cast("long").alias("s"), F.lit(60).cast("long").alias("e"))
+    positive = spark.range(300).select(F.col("id").alias("seqid"), F.lit(200).cast("long").alias("s"), F.lit(240).cast("long").alias("e"))
+    negative = spark.range(300).select(F.col("id").alias("seqid"), F.lit(20).cast("long").alias("s"), F.lit(60).cast("long").alias("e"))
     c = config.Config(windows=[20, 30], step=10, preprocess=config.Preprocess(drop_n=True, upper=True))
     t = pipeline.feature_table(positive, negative, contigs, c).cache()
-    assert t.count() == 120
+    assert t.count() == 600
     model = pipeline.Boundary(c, n_search=2, folds=2).fit(t)
     assert model.f1 > 0.7
     found = positive.limit(4).withColumn("id", F.col("seqid"))
