@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.common import table
+from strandlake.llm.oracles import ORACLES  # noqa: F401
 
 #: Folder of the public vocabularies' package; the files stay where they are.
 def tokenizer_path(name: str) -> str:
@@ -87,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
