@@ -12,11 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out only where a scan has fewer tasks than there are cores (a small file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq): texts in upper case with the four bases alone."""
-    # a text file of one row group is read by one task; the exchange deals its rows out before the costly expression
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
-    return docs.select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]+", "").alias("seq"))
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
