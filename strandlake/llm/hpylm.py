@@ -43,6 +43,7 @@ SMALL = 32
 BURN, SAMPLES, APART = 4, 3, 2
 STRENGTH, ROOT_STRENGTH = 5.0, 10.0
 BLOCK_BYTES = 12 << 20
+PIECE = 128
 SEED = 29
 _CODEC = "zstd"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -161,6 +162,7 @@ def _gather(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
     for batch in batches:
         for row in batch.to_pylist():
             held.setdefault(row["bucket"], []).append(row)
+    held_any, total = bool(held), {0: np.zeros(ALL, np.int64), 1: np.zeros(ALL, np.int64), 2: np.zeros(7, np.int64)}
     for bucket in sorted(held):
         rows = sorted(held.pop(bucket), key=lambda r: r["block"])
         words = [np.frombuffer(r["words"], np.uint64) for r in rows]
@@ -177,16 +179,37 @@ def _gather(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
         _save(uri, f"bucket-{bucket}", {"word": word.astype("<u4"), "ctx": ctx.astype("<u2"), "c": c.astype("<u4"), "n": n, "blocks": blocks})
         t = first_tables(c)
         root = np.bincount(word, t, len(merged)).astype(np.int64)
-        sums = {k: np.bincount(ctx, x, ALL).astype(np.int64) for k, x in (("c", c), ("t", t))}
         once, twice = lambda x: int((x == 1).sum()), lambda x: int((x == 2).sum())
-        extra = [int(n.sum()), int((n > 0).sum()), once(c), twice(c), once(root), twice(root), int(first_tables(root).sum())]
-        at = np.flatnonzero(sums["c"])
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(sums["c"][at]), pa.array(sums["t"][at])], names=["kind", "at", "c", "t"])
-        k = len(extra)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(extra, pa.int64()), pa.array([0] * k, pa.int64())], names=["kind", "at", "c", "t"])
+        total[0] += np.bincount(ctx, c, ALL).astype(np.int64)
+        total[1] += np.bincount(ctx, t, ALL).astype(np.int64)
+        total[2] += [int(n.sum()), int((n > 0).sum()), once(c), twice(c), once(root), twice(root), int(first_tables(root).sum())]
+    if held_any:
+        yield from _pieces(total)
 
 
-_SUMS = "kind int, at int, c long, t long"
+def _pieces(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sums of one task in pieces of a fixed length, so that pieces can be added up side by side."""
+    rows = [(kind, k // PIECE, v[k : k + PIECE].tobytes()) for kind, v in total.items() for k in range(0, len(v), PIECE)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "piece", "sums"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for kind, piece, raw in zip(batch.column("kind").to_pylist(), batch.column("piece").to_pylist(), batch.column("sums")):
+            v = np.frombuffer(raw.as_py(), np.int64)
+            sums[kind, piece] = sums[kind, piece] + v if (kind, piece) in sums else v
+    for (kind, piece), v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([piece], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["kind", "piece", "sums"])
+
+
+def _added(df: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of all tasks by kind: a fixed number of pieces comes to the driver."""
+    got = common.saved(df, "hpylm-sums").repartition(64, "kind", "piece").mapInArrow(_add, _SUMS).collect()
+    return {kind: np.concatenate([np.frombuffer(r.sums, np.int64) for r in sorted((r for r in got if r.kind == kind), key=lambda r: r.piece)]) for kind in {r.kind for r in got}}
+
+
+_SUMS = "kind int, piece int, sums binary"
 
 
 def move(sizes: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> None:
@@ -281,6 +304,7 @@ def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers: f
 
 def _sample(batches: Iterator[pa.RecordBatch], uri: str, names: list[int], whole: dict) -> Iterator[pa.RecordBatch]:
     """Samples a bucket's seating, leaves the samples in a file, and gives the tables by context and the root's sums of each."""
+    total = {j: np.zeros(ALL + 2, np.int64) for j in range(SAMPLES)}
     for k in (k for b in batches for k in b.column(0).to_pylist()):
         b = _load(uri, f"bucket-{names[k]}")
         word, ctx, c = b["word"].astype(np.int64), b["ctx"].astype(np.int64), b["c"].astype(np.int64)
@@ -292,12 +316,9 @@ def _sample(batches: Iterator[pa.RecordBatch], uri: str, names: list[int], whole
                 kept.append((s.t.astype("<u4"), s.customers.astype("<u4"), s.root.astype("<u4")))
         _save(uri, f"samples-{names[k]}", kept)
         for j, (t, customers, root) in enumerate(kept):
-            sums = np.bincount(ctx, t, ALL).astype(np.int64)
-            at = np.flatnonzero(sums)
-            m = len(at) + 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([j] * m, pa.int32()), pa.array([*at.tolist(), ALL, ALL + 1], pa.int32()), pa.array([0] * m, pa.int64()), pa.array([*sums[at].tolist(), int(customers.sum()), int(root.sum())], pa.int64())], names=["kind", "at", "c", "t"]
-            )
+            total[j][:ALL] += np.bincount(ctx, t, ALL).astype(np.int64)
+            total[j][ALL:] += [int(customers.sum()), int(root.sum())]
+    yield from _pieces(total)
 
 
 def predictive(word, ctx, c, samples, sums, whole) -> np.ndarray:
@@ -349,24 +370,17 @@ def score(docs: DataFrame) -> DataFrame:
     top = ready.mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(CONTEXTS).collect()
     contexts = spark.sparkContext.broadcast({bytes(r.word): k for k, r in enumerate(top)})
     counted = ready.mapInArrow(lambda it: _blocks(it, contexts.value, parts, uri), _COUNTED)
-    sums = common.saved(counted.repartition(parts, "bucket").mapInArrow(lambda it: _gather(it, uri), _SUMS), "hpylm-sums").groupBy("kind", "at").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    sums = _added(counted.repartition(parts, "bucket").mapInArrow(lambda it: _gather(it, uri), _SUMS))
     names = sorted(int(f.base_name[7:]) for f in _listed(uri) if f.base_name.startswith("bucket-"))
     if not names:
         return spark.createDataFrame([], SCHEMA)
-    c, t, extra = np.zeros(ALL), np.zeros(ALL), [0] * 7
-    for r in sums:
-        if r.kind == 0:
-            c[r["at"]], t[r["at"]] = r.c, r.t
-        else:
-            extra[r["at"]] = r.c
+    c, t, extra = sums[0].astype(float), sums[1].astype(float), sums[2].tolist()
     n, v, one, two, root_one, root_two, root_tables = extra
     discount = lambda a, b: min(max(a / max(a + 2 * b, 1), 0.05), 0.95)
     whole = {"tokens": n, "words": v, "base": 1 / (v + 1), "c": c, "t": t, "d": discount(one, two), "d_root": discount(root_one, root_two), "root_customers": float(t.sum()), "root_tables": float(root_tables)}
     tasks = spark.range(0, len(names), 1, min(len(names), 4 * parts))
-    drawn = common.saved(tasks.mapInArrow(lambda it: _sample(it, uri, names, whole), _SUMS), "hpylm-sums").groupBy("kind", "at").agg(F.sum("t").alias("t")).collect()
-    totals = np.zeros((SAMPLES, ALL + 2))
-    for r in drawn:
-        totals[r.kind, r["at"]] = r.t
+    drawn = _added(tasks.mapInArrow(lambda it: _sample(it, uri, names, whole), _SUMS))
+    totals = np.stack([drawn[j] for j in range(SAMPLES)]).astype(float)
     answers = tasks.mapInArrow(lambda it: _answer(it, uri, names, whole, totals), "block string, bucket int, logs binary, n binary")
     return answers.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _score(it, uri, whole), SCHEMA)
 
