@@ -36,7 +36,7 @@ _KMERS = f"""SELECT doc_id, kmer, cnt, CASE WHEN cnt > 0 THEN cnt / n ELSE 0.0 E
 
 
 @query(f"SELECT doc_id, kmer, cnt, round(p, 6) AS frequency, round(CASE WHEN p > 0 THEN -p * ln(p) / ln(4) ELSE 0.0 END, 6) AS entropy FROM ({_KMERS})")
-def kmer_entropy(spark, d):  # F1-F4, J8, A4
+def kmer_entropy(spark, d):  # F1, F2, F3, F4, J8, A4
     t = kmers.long_form(fx.sequences(spark, d), "doc_id")
     return t.select("doc_id", "kmer", "cnt", F.round("frequency", 6).alias("frequency"), F.round("entropy", 6).alias("entropy"))
 
@@ -521,6 +521,17 @@ def randomized_search(spark, d):  # M6
     return spark.createDataFrame([(k, t["C"], t["tol"], t["kernel"], t["f1"]) for k, t in enumerate(tried)], "trial int, C double, tol double, kernel string, f1 double")
 
 
+@query()
+def alternative_classifiers(spark, d):  # M9
+    from pyspark.ml.functions import array_to_vector
+
+    from strandlake.plans.models import other_classifier
+
+    e = cut(_vectors(spark, d).withColumn("_x", array_to_vector("features")))
+    parts = [other_classifier(n).fit(e).transform(e).select(F.lit(n).alias("kind"), "id", "target", F.col("prediction").cast("int").alias("prediction")) for n in ("gaussian_nb", "logistic", "forest", "boosting")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query("SELECT l_returnflag AS setting, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS std FROM lineitem GROUP BY 1")
 def metric_summary(spark, d):  # M10
     m = stats.metric_summary(fx.table(spark, d, "lineitem"), "l_returnflag", "l_discount")
