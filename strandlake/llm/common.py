@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +69,22 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def spread(n: int) -> int:
-    return max(1, int(n))
+#: What worker processes remember between tasks, by owner; each entry forgets it.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def keep_only(owner: str | None = None) -> None:
+    """At the start of a task: forgets what other operators' tasks left in this worker process, and gives the memory back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for name, forget in CACHES.items():
+        if name != owner:
+            forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

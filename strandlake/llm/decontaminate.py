@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import common
 from strandlake.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -113,6 +114,7 @@ def occurrences(texts: list[bytes], blocks: list) -> tuple[np.ndarray, list[set[
 
 def shards(batches: Iterator[pa.RecordBatch], blocks: list, window: int) -> Iterator[tuple]:
     """Cuts batches into shards: (rows, texts, words, items, spans) of each. One block's windows are in memory at a time."""
+    common.keep_only()
     made: dict[int, Windows] = {}
 
     def load(k: int) -> Windows:

@@ -190,6 +190,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only()
         for batch in batches:
             row = batch.column("_row")
             names = [f.name for f in row.type]

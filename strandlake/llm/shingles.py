@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from strandlake.llm import common
+
 WORDS = 5
 REMEMBER, LONGEST = 400_000, 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -21,6 +23,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+common.CACHES["shingles"] = _WORDS.clear
 
 
 def _final(h: np.ndarray) -> np.ndarray:

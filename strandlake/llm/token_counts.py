@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import common
+
 #: Counts that a worker remembers, and the longest word that is remembered. Only speed depends on them.
 REMEMBER, LONGEST = 600_000, 64
 SCHEMA = "doc_id long, n_words long, n_tokens long"
@@ -101,6 +103,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 _COUNTS: dict[str, Counts] = {}
+common.CACHES["token_counts"] = lambda: [c.clear() for c in _COUNTS.values()]
 
 
 def counts(path: str) -> Counts:
@@ -118,6 +121,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("token_counts")
         known = counts(path)
         for batch in batches:
             words, tokens = [], []

@@ -34,7 +34,7 @@ END_ID = 2
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 ODD = re.compile(r"[^!-~\w \n]")
 #: Pieces that a worker remembers. Only speed depends on it.
-REMEMBER = 1_000_000
+REMEMBER = 800_000
 #: A letter before one of these ends a piece as well.
 STOPS = ".,;:!?"
 #: Stands for a space at which a text is cut; a text that holds it is encoded as it is.
@@ -124,6 +124,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+common.CACHES["token_files"] = lambda: [e.known.clear() for e in _ENCODERS.values()]
 
 
 def encoder(path: str) -> Encoder:
@@ -169,6 +170,7 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        common.keep_only("token_files")
         enc = encoder(tokenizer_path)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         fs, root = filesystem(out)
