@@ -36,6 +36,7 @@ def _binary(docs: DataFrame) -> DataFrame:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end rows with this task's part of the sketch."""
+    common.keep_only("shingles")
     size = 1 << SKETCH_BITS
     counts, held, n_held = np.zeros(size, np.int64), [], 0
     empty = lambda n, t: pa.nulls(n, t)
@@ -67,18 +68,27 @@ def _overfull(described: DataFrame) -> np.ndarray:
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     limit = 2 * total / (1 << SKETCH_BITS) + 256
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: str) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(c.as_py(), "<u2").astype(np.int64)
+            for k, c in zip(batch.column("segment").to_pylist(), batch.column("counts")):
+                part = np.frombuffer(c.as_py(), kind).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
-        for k, c in sums.items():
+        return sums
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c in add(batches, "<u2").items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.astype("<u4").tobytes()], pa.binary())], names=["segment", "counts"])
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c in add(batches, "<u4").items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(c > limit).tobytes()], pa.binary())], names=["segment", "bits"])
 
     bits = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS // 8), np.uint8)
-    parts = described.where("segment is not null").select("segment", "counts").repartition(SEGMENTS, "segment")
-    for r in parts.mapInArrow(add, "segment int, bits binary").collect():  # a fixed number of bytes
+    parts = described.where("segment is not null").select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(SEGMENTS)).alias("_k"))
+    # in two steps, so that no task reads a segment of every task of a large corpus
+    first = parts.repartition(SEGMENTS * SEGMENTS // 8, "segment", "_k").select("segment", "counts").mapInArrow(some, "segment int, counts binary")
+    for r in first.repartition(SEGMENTS, "segment").mapInArrow(all_, "segment int, bits binary").collect():  # a fixed number of bytes
         bits[r.segment] = np.frombuffer(r.bits, np.uint8)
     return np.unpackbits(bits.ravel()).astype(bool)
 
@@ -88,6 +98,7 @@ def _first_members(docs: DataFrame, overfull: np.ndarray, buckets: int) -> DataF
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(overfull))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("shingles")
         full, mask = np.unpackbits(held.value).astype(bool), np.uint64((1 << SKETCH_BITS) - 1)
         seen: set[int] = set()
         members, classes, n = [], [], 0
@@ -249,6 +260,7 @@ def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _join_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that connect each block (``coarse``, ``block``, ``piece``, sorted) by the sets themselves."""
+    common.keep_only("shingles")
     for group in _runs(batches, ["coarse", "block", "piece"]):
         cid = group.column("cid").to_numpy()
         side = group.column("probe").to_numpy(zero_copy_only=False) if "probe" in group.column_names else np.zeros(len(cid), bool)
