@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm import sampling
+from strandlake.llm import common, sampling
 
 POSITIVES = 12_000
 UNLABELLED = 24_000
@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kept = rows.join(F.broadcast(chosen), "doc_id", "left")
     unlabelled = (sampling.place(F.col("doc_id"), 11) < limit) & (sampling.fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     both = F.array_compact(F.array(F.when(F.col("_p"), F.lit(True)), F.when(unlabelled, F.lit(False))))
-    sample = kept.where(F.coalesce("_p", F.lit(False)) | unlabelled).select("text", F.explode(both).alias("positive")).limit(4 * (POSITIVES + UNLABELLED))
-    got = sample.mapInArrow(_vectors, "x array<double>, positive boolean").toPandas()
+    sample = kept.where(F.coalesce("_p", F.lit(False)) | unlabelled).select("text", F.explode(both).alias("positive"))
+    got = sample.mapInArrow(_vectors, "x array<double>, positive boolean").limit(4 * (POSITIVES + UNLABELLED)).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     x, positive = x[order := np.lexsort(x.T)], got["positive"].to_numpy(bool)[order]  # sums then don't depend on the order of rows
     return Model(x[positive], x[~positive])
@@ -177,6 +177,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only()
         for batch in batches:
             text = (t.as_py() for t in batch.column("text"))
             x = np.array([features(t.encode() if t is not None else None) for t in text], float).reshape(-1, N_FEATURES)
