@@ -9,8 +9,8 @@ Steps, each linear in the text and without a table that any worker must hold who
 1. Blocks of documents count their distinct (word, context) pairs and leave their documents, as numbers of those pairs, in a file of the
    shared folder. The counts go to the bucket of the word's hash.
 2. A bucket has all that concerns its words. Seating is sampled there: in each sweep every customer of a dish with up to ``SMALL`` customers
-   is taken from a table and seated again by the Chinese-restaurant rule; a dish with more is seated anew in runs of customers that grow
-   with the place in the order of seating, and so is the root, whose customers are the tables below. Tables per context, which all buckets
+   is taken from a table and seated again by the Chinese-restaurant rule; the number of tables of a dish with more is drawn anew from its
+   law given that all customers eat that dish, and so is the root's, whose customers are the tables below. Tables per context, which all buckets
    share, are brought up to date by the bucket's own share during sweeps and summed over all buckets for each sample.
 3. With those sums, the predictive probabilities of the samples are averaged and go back to the blocks, in the order of their pairs.
 4. Blocks add up their documents' scores.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ END = CONTEXTS + CLASSES
 ALL = END + 1
 HELD_OUT, FOLDS = 2, 7
 SMALL = 32
+#: Up to so many customers, the law of the number of tables is exact; from there, customers are followed in runs.
+EXACT = 1024
 BURN, SAMPLES, APART = 4, 3, 2
 STRENGTH, ROOT_STRENGTH = 5.0, 10.0
 BLOCK_BYTES = 12 << 20
@@ -229,7 +232,10 @@ _EDGES = np.unique(np.concatenate([np.arange(1, 17), np.rint(16 * 1.25 ** np.ara
 
 
 def seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose customers come in one after the other, in runs that grow with the number seated."""
+    """Tables of dishes whose customers come in one after the other, in runs that grow with the number seated, if any dish could be theirs.
+
+    Not the law of a seating whose dishes are known: that is ``drawn``.
+    """
     t = (c > 0).astype(np.int64)
     for low, high in zip(_EDGES, _EDGES[1:]):
         at = np.flatnonzero(c > low)
@@ -241,6 +247,77 @@ def seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) ->
     return np.minimum(t, c)
 
 
+@lru_cache(maxsize=4)
+def log_seatings(d: float) -> np.ndarray:
+    """log S(c, t) for c, t up to EXACT: the weight of all ways to seat c customers at t tables, generalised Stirling numbers."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, EXACT):
+        stay = np.log(c - d * np.arange(1, c + 1)) + out[c, 1 : c + 1]
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], np.append(stay, -np.inf))
+    return out
+
+
+def _ahead(seats: np.ndarray, a: np.ndarray, left: np.ndarray, d: float) -> np.ndarray:
+    """log y, where the customers to come, ``left``, balance (seats / y + a y ** (d - 1)) (1 - y): each new table weighs a y ** d then."""
+    low, high = -np.log1p(left / seats), np.zeros(len(a))
+    for _ in range(18):
+        y = (low + high) / 2
+        more = (seats * np.exp(-y) + a * np.exp((d - 1) * y)) * -np.expm1(y) > left
+        low, high = np.where(more, y, low), np.where(more, high, y)
+    return (low + high) / 2
+
+
+def _exact(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with 1 to EXACT customers by the law a ** t * S(c, t)."""
+    t, weights = np.ones(len(c), np.int64), log_seatings(d)
+    limit = np.exp(np.minimum(log_a, 50)) / d  # with ever more customers, t - 1 tends to a Poisson law of this mean
+    width = np.minimum(c, limit + 10 * np.sqrt(limit) + 25).astype(np.int64)  # all but e ** -40 of the law
+    order = np.argsort(width, kind="stable")
+    order = order[c[order] > 1]
+    widths = width[order]
+    at = 0
+    while at < len(order):
+        most = widths[at] * 5 // 4 + 1
+        some = order[at : min(np.searchsorted(widths, most, "right"), at + max(1, (1 << 19) // most))]
+        most = width[some].max()
+        w = weights[c[some], 1 : most + 1] + np.arange(1, most + 1) * log_a[some, None]
+        cum = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
+        t[some] = 1 + (cum <= (rng.random(len(some)) * cum[:, -1])[:, None]).sum(1)
+        at += len(some)
+    return np.minimum(t, c)
+
+
+def drawn(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes given that all their customers eat that dish: the law a ** t * S(c, t), as the Gibbs steps leave it.
+
+    Beyond EXACT customers, the first ones are seated by that law and the others in runs, both with new tables weighted by what the customers
+    to come make of them (a saddle point of the generating function of the ways to seat these).
+    """
+    t = np.zeros(len(c), np.int64)
+    log_a = np.log(np.maximum(a, 1e-300))
+    at = np.flatnonzero((c > 0) & (c <= EXACT))
+    t[at] = _exact(c[at], log_a[at], d, rng)
+    at = np.flatnonzero(c > EXACT)
+    if len(at):
+        n, b, first = c[at], a[at], np.full(len(at), EXACT)
+        mean = np.ones(len(at))
+        for _ in range(3):  # the tables there are of the first customers decide on what is ahead
+            y = _ahead(EXACT - d * mean, b, n - EXACT, d)
+            mean = _exact(first, log_a[at] + d * y, d, rng).astype(float)
+        now = mean.astype(np.int64)
+        low = EXACT
+        while (live := np.flatnonzero(n > low)).size:
+            high = low + low // 8
+            some = np.minimum(n[live], high) - low
+            middle = low + (some - 1) / 2
+            new = b[live] * np.exp(d * _ahead(middle - d * now[live], b[live], n[live] - middle, d))
+            now[live] += rng.binomial(some, new / (middle - d * now[live] + new))
+            low = high
+        t[at] = now
+    return t
+
+
 class Seating:
     """The seating of one bucket's dishes."""
 
@@ -275,7 +352,7 @@ class Seating:
         else:
             tables = w["root_tables"] * self._ratio(self.root.sum(), self.start_root[1])
         a = np.full(self.n_words, (ROOT_STRENGTH + w["d_root"] * tables) * w["base"])
-        self.root = seated(self.customers, a, w["d_root"], self.rng)
+        self.root = drawn(self.customers, a, w["d_root"], self.rng)
         customers, tables = w["root_customers"] * self._ratio(total, self.start_root[0]), w["root_tables"] * self._ratio(self.root.sum(), self.start_root[1])
         self.p = root_probability(self.customers, self.root, customers, tables, w)
 
@@ -294,7 +371,7 @@ class Seating:
                     move(part, a[at[some]], w["d"], self.rng)
                     sizes[some] = part
             self.t[at] = (sizes > 0).sum(1)
-        self.t[self.large] = seated(self.c[self.large], a[self.large], w["d"], self.rng)
+        self.t[self.large] = drawn(self.c[self.large], a[self.large], w["d"], self.rng)
         self.seat_root()
 
 

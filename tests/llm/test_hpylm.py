@@ -100,3 +100,37 @@ def test_gibbs_reaches_the_seating_distribution():
     assert all(abs(found[k] / len(sizes) - p) < 0.02 for k, p in law().items())
     t = hpylm.seated(np.array([0, 1, 5, 1000, 10**6]), np.full(5, 2.0), 0.5, rng)
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 5 and 1 < t[3] < 1000 and t[3] < t[4] < 10**6
+
+
+def test_tables_of_large_dishes_follow_the_exact_law():
+    """Mean and variance of the number of tables against generalised Stirling numbers in logs, at counts over SMALL and over EXACT."""
+    rng = np.random.default_rng(7)
+    for d, counts in ((0.6, (33, 40, 200, 1000, 5000)), (0.3, (60, 3000))):
+        last = np.array([-np.inf, 0.0])
+        for c in range(1, counts[-1]):
+            stay = np.log(c - d * np.arange(1, c + 1)) + last[1:]
+            last = np.concatenate([[-np.inf], np.logaddexp(last[:-1], stay), last[-1:]])
+            if c + 1 not in counts:
+                continue
+            for a in (0.05, 5.0, 50.0, 1000.0):
+                w = last[1:] + np.arange(1, c + 2) * np.log(a)
+                p = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+                mean = (p * np.arange(1, c + 2)).sum()
+                var = (p * (np.arange(1, c + 2) - mean) ** 2).sum()
+                t = hpylm.drawn(np.full(4000, c + 1), np.full(4000, a), d, rng)
+                assert abs(t.mean() - mean) < 0.015 * mean + 5 * math.sqrt(var / 4000), (d, c + 1, a, t.mean(), mean)
+                assert abs(t.var() - var) < 0.15 * var + 0.02, (d, c + 1, a, t.var(), var)
+
+
+def test_large_dishes_and_the_root_are_drawn_by_that_law():
+    """No jump at SMALL: dishes with one customer more have about as many tables as those with SMALL."""
+    n = 3000
+    c = np.concatenate([np.full(n, hpylm.SMALL), np.full(n, hpylm.SMALL + 1)])
+    word, ctx = np.arange(2 * n), np.zeros(2 * n, np.int64)
+    root = hpylm.first_tables(c)
+    whole = {"d": 0.6, "d_root": 0.5, "base": 1 / (2 * n + 1), "c": np.bincount(ctx, c, hpylm.ALL).astype(float), "t": np.bincount(ctx, root, hpylm.ALL).astype(float)}
+    whole |= {"root_customers": float(root.sum()), "root_tables": float(hpylm.first_tables(root).sum())}
+    s = hpylm.Seating(word, ctx, c, 2 * n, whole, np.random.default_rng(1))
+    for _ in range(30):  # single steps take their time to forget the start
+        s.sweep()
+    assert abs(s.t[n:].mean() / s.t[:n].mean() - 1) < 0.1
