@@ -517,7 +517,7 @@ def randomized_search(spark, d):  # M6
 
     e = _vectors(spark, d)
     ready = cut(stats.Lda(scaled := stats.Scaler(e).transform(e)).transform(scaled))
-    _, tried = search(ready, n=2, folds=2)
+    _, tried = search(ready)
     return spark.createDataFrame([(k, t["C"], t["tol"], t["kernel"], t["f1"]) for k, t in enumerate(tried)], "trial int, C double, tol double, kernel string, f1 double")
 
 
@@ -597,7 +597,7 @@ def boundary_scan(spark, d):  # 3.1 - 3.3 end to end
     five = cut(fx.utr3(spark, d))
     negative = pipeline.background(fx.candidates(spark, d), five, fx.utr5(spark, d))
     table = cut(pipeline.feature_table(five, negative, contigs, config))
-    model = pipeline.Boundary(config, n_search=0).fit(table)
+    model = pipeline.Boundary(config).fit(table)
     found = sampling.with_replacement(cut(relational.numbered(five, ["seqid", "s", "e"])), 3, 1).select(F.col("draw").alias("id"), "seqid", "s", "e")
     return model.scan(found, contigs)
 

@@ -5,6 +5,7 @@ import importlib
 import sys
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import stats
@@ -92,3 +93,23 @@ def test_entry_without_the_optional_parts(spark, monkeypatch):
     assert "pipeline" not in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 16800
+
+
+@pytest.mark.parametrize("name", ["randomized_search", "boundary_scan"])
+def test_search_runs_with_all_draws_and_folds(spark, name, monkeypatch):
+    import inspect
+
+    from strandlake import queries
+    from strandlake.plans import models, pipeline
+
+    asked, real = [], inspect.signature(models.search)
+
+    def noted(*args, **given):
+        asked.append(real.bind(*args, **given))
+        asked[-1].apply_defaults()
+        return models.candidates(1)[0], [{"C": 1.0, "tol": 0.1, "kernel": "linear", "f1": 0.5}]
+
+    monkeypatch.setattr(models, "search", noted)
+    monkeypatch.setattr(pipeline, "search", noted)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [(x.arguments["n"], x.arguments["folds"]) for x in asked] == [(10, 5)]
