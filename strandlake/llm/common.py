@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,12 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; call it when what was made of them is saved."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 #: What worker processes remember between tasks, by owner; each entry forgets it.
 CACHES: dict[str, Callable[[], object]] = {}
 
