@@ -1,27 +1,32 @@
 """A hierarchical Pitman-Yor language model over words, trained on all training documents and scored on all documents.
 
-The root restaurant holds the words; its base is uniform over the vocabulary and one unknown word. Each context has a restaurant whose
-parent is the root. A context is the word before, if it is among the ``CONTEXTS`` most frequent, and else the class of that word's last
-two bytes (one of ``CLASSES``), so every token sits in a context and rare words share theirs; the first word of a document follows the end.
-
-Steps, each linear in the text and without a table that any worker must hold whole:
-
-1. Blocks of documents count their distinct (word, context) pairs and leave their documents, as numbers of those pairs, in a file of the
-   shared folder. The counts go to the bucket of the word's hash.
-2. A bucket has all that concerns its words. Seating is sampled there: in each sweep every customer of a dish with up to ``SMALL`` customers
-   is taken from a table and seated again by the Chinese-restaurant rule; the number of tables of a dish with more is drawn anew from its
-   law given that all customers eat that dish, and so is the root's, whose customers are the tables below. Tables per context, which all buckets
-   share, are brought up to date by the bucket's own share during sweeps and summed over all buckets for each sample.
-3. With those sums, the predictive probabilities of the samples are averaged and go back to the blocks, in the order of their pairs.
-4. Blocks add up their documents' scores.
-
-Blocks and buckets are files under names that depend on what they hold, so a task that runs again leaves the same or a new file.
+Each word that comes before another has a restaurant, whose customers are the words that follow it; the tables of all these restaurants are the
+customers of the root, their common parent. The root's base is uniform over the vocabulary and one unknown word. A document's first word
+follows the end. No context is left out or put together with others.
+
+The seating is sampled by Gibbs steps. What a prediction needs of a seating are the numbers of tables, so a step takes all customers of a dish
+from a restaurant and seats them again: the number of their tables is drawn from its conditional law, given all other tables of the restaurant,
+``P ** t * S(c, t) * (A)(A + d) ... (A + (t - 1) d)`` with the generalised Stirling numbers S, A = strength + d * other tables, and the parent's
+probability P. A sweep draws one half of a restaurant's dishes given the other half's tables, then the other half. Dishes with more than
+``EXACT`` customers are drawn by a saddle point of that law (a test holds both against exact laws).
+
+Words have numbers, dealt by frequency into ``cells`` whose number follows from the bytes of text alone, so no result depends on how rows lie in
+partitions. Steps, each linear in the text and without a table that any worker must hold whole:
+
+1. Blocks of documents leave their words as numbers in a file, and send the distinct ones with training counts to the words' cells.
+2. A words' cell numbers its words, and answers each block. The block sends its distinct pairs (word before, word) to the cell of the word
+   before; a word with more than ``HOT`` customers has its pairs dealt over as many cells as that takes.
+3. A pairs' cell holds whole restaurants (or parts of the hot ones, whose tables are summed over cells in each round). In each round it
+   gets the root's probabilities of its words, makes ``SWEEPS`` sweeps, and sends its tables by word to the words' cells, where the root is seated.
+4. After the rounds, the predictive probabilities of the last ``SAMPLES`` of them are averaged and go back to the blocks, which add up scores.
+
+Blocks and cells are files under names that depend on what they hold, so a task that runs again leaves the same or a new file. To the driver
+come a row for each cell (``CELL_BYTES`` of text) and the hot words, one for ``HOT`` tokens at most.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,17 +41,14 @@ from strandlake.llm import common, sampling
 from strandlake.llm.near_duplicates import _runs
 from strandlake.llm.token_files import _rename, filesystem
 
-CONTEXTS, CLASSES = 4096, 512
-END = CONTEXTS + CLASSES
-ALL = END + 1
 HELD_OUT, FOLDS = 2, 7
-SMALL = 32
 #: Up to so many customers, the law of the number of tables is exact; from there, customers are followed in runs.
 EXACT = 1024
-BURN, SAMPLES, APART = 4, 3, 2
+BURN, SAMPLES, SWEEPS = 1, 3, 2
 STRENGTH, ROOT_STRENGTH = 5.0, 10.0
 BLOCK_BYTES = 12 << 20
-PIECE = 128
+CELL_BYTES = 24 << 20
+HOT = 400_000
 SEED = 29
 _CODEC = "zstd"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -56,6 +58,20 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def pack(a: np.ndarray) -> bytes:
+    """Unsigned numbers at the least width that fits, byte by byte, so that compression finds the empty ones."""
+    top = int(a.max()) if len(a) else 0
+    w = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([w]) + a.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    w = raw[0]
+    if len(raw) == 1:
+        return np.zeros(0, f"<u{w}")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(w, -1).T).view(f"<u{w}").ravel()
+
+
 def _save(uri: str, name: str, value) -> None:
     raw = pickle.dumps(value, protocol=5)
     fs, root = filesystem(uri)
@@ -72,26 +88,10 @@ def _load(uri: str, name: str):
     return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), _CODEC, asbytes=True))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of training documents that make up 1 / (4 * CONTEXTS) of some run of documents at least, with their counts."""
-    seen: Counter = Counter()
-    n = 0
-
-    def flush() -> pa.RecordBatch:
-        some = [(w, c) for w, c in seen.items() if 4 * CONTEXTS * c >= n and len(w) <= 64]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for train, text in zip(batch.column("train").to_pylist(), batch.column("text")):
-            if train:
-                words = tokens(text.as_py())
-                seen.update(words)
-                n += len(words)
-            if n > 1_000_000:
-                yield flush()
-                seen, n = Counter(), 0
-    if n:
-        yield flush()
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
 class _Numbers(dict):
@@ -100,8 +100,12 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], contexts: dict[bytes, int], buckets: int, uri: str) -> Iterator[pa.RecordBatch]:
-    """Counts of each block for each bucket: (block, bucket, words, pairs of each word, contexts, training counts)."""
+_SPOKEN = "block string, cell int, words binary, counts binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], cells: int, uri: str) -> Iterator[pa.RecordBatch]:
+    """Leaves each block in a file and sends its distinct words, with their training counts, to their cells."""
+    common.keep_only()
     number = 0
 
     def block(docs: list, trains: list, texts: list) -> Iterator[pa.RecordBatch]:
@@ -113,28 +117,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], contexts: dict[bytes, int], bucke
         codes = np.concatenate([x for c in coded for x in (c, np.zeros(1, np.int32))])
         del coded
         hashes = np.fromiter((0 if w is None else xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        context = np.fromiter((END if w is None else contexts.get(w, CONTEXTS + xxhash.xxh32_intdigest(w[-2:]) % CLASSES) for w in known), np.int64, len(known))
-        bucket = (hashes >> np.uint64(17)) % np.uint64(buckets)
-        order = np.lexsort((hashes, bucket))
+        cell = ((hashes >> np.uint64(17)) % np.uint64(cells)).astype(np.int64)
+        order = np.lexsort((hashes, cell))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        before = np.concatenate([[END], context[codes[:-1]]])  # the context after an end is the end's own
-        pairs, which = np.unique(place[codes] * ALL + before, return_inverse=True)
-        counts = np.bincount(which, np.repeat(np.array(trains, float), sizes), len(pairs)).astype("<u4")
-        of = pairs // ALL
-        per_word = np.bincount(of, minlength=len(order)).astype("<u4")
+        codes = place[codes]
+        counts = np.bincount(codes, np.repeat(np.array(trains, float), sizes), len(order)).astype(np.int64)
         name = f"block-{TaskContext.get().partitionId()}-{number}-{xxhash.xxh64_hexdigest(repr((docs[:50], len(docs), len(codes), docs[-50:])))}"
         number += 1
-        _save(uri, name, {"docs": docs, "trains": trains, "sizes": sizes, "which": which.astype("<u4"), "per_word": per_word})
-        bucket, words, ctx = bucket[order], hashes[order], (pairs % ALL).astype("<u2")
-        present, at = np.unique(bucket, return_index=True)
-        edge = [*at.tolist(), len(bucket)]
-        cut = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
-        rows = []
-        for k, a, b in zip(present.tolist(), edge, edge[1:]):
-            p = slice(cut[a], cut[b])
-            rows.append((name, k, words[a:b].tobytes(), per_word[a:b].tobytes(), ctx[p].tobytes(), counts[p].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), *[pa.binary()] * 4))], names=["block", "bucket", "words", "per_word", "context", "counts"])
+        _save(uri, name, {"docs": docs, "trains": trains, "sizes": sizes, "codes": pack(codes), "end": int(place[0])})
+        hashes, cell = hashes[order], cell[order]
+        present, at = np.unique(cell, return_index=True)
+        edge = [*at.tolist(), len(cell)]
+        yield _batch(_SPOKEN, [(name, k, hashes[a:b].tobytes(), pack(counts[a:b])) for k, a, b in zip(present.tolist(), edge, edge[1:])])
 
     docs, trains, texts, size = [], [], [], 0
     for batch in batches:
@@ -151,7 +146,80 @@ def _blocks(batches: Iterator[pa.RecordBatch], contexts: dict[bytes, int], bucke
         yield from block(docs, trains, texts)
 
 
-_COUNTED = "block string, bucket int, words binary, per_word binary, context binary, counts binary"
+_NUMBERED = "cell int, tokens long, words long, hot binary"
+
+
+def _words(batches: Iterator[pa.RecordBatch], cells: int, uri: str) -> Iterator[pa.RecordBatch]:
+    """Numbers a cell's words by frequency, leaves what each block asked for in a file, and gives sums and the hot words."""
+    for group in _runs(batches, ["cell"]):
+        cell, names = group.column("cell")[0].as_py(), group.column("block").to_pylist()
+        words = [np.frombuffer(w.as_py(), np.uint64) for w in group.column("words")]
+        merged = np.unique(np.concatenate(words))
+        at = [np.searchsorted(merged, w) for w in words]
+        n = np.bincount(np.concatenate(at), np.concatenate([unpack(c.as_py()) for c in group.column("counts")]), len(merged)).astype(np.int64)
+        ids = np.empty(len(merged), np.int64)
+        ids[np.lexsort((merged, -n))] = np.arange(len(merged)) * cells + cell
+        if len(ids) and ids.max() >= 1 << 32:
+            raise ValueError("more than 2 ** 32 numbers of words; raise CELL_BYTES")
+        _save(uri, f"words-{cell}", [(b, pack(ids[w]), pack(n[w])) for b, w in zip(names, at)])
+        hot = np.flatnonzero(n > HOT)
+        yield _batch(_NUMBERED, [(cell, int(n.sum()), int((n > 0).sum()), np.stack([ids[hot], n[hot]]).tobytes())])
+
+
+_TOLD = "block string, cell int, ids binary, n binary"
+
+
+def _tell(batches: Iterator[pa.RecordBatch], cells: list[int], uri: str) -> Iterator[pa.RecordBatch]:
+    for k in (cells[k] for b in batches for k in b.column(0).to_pylist()):
+        for block, ids, n in _load(uri, f"words-{k}"):
+            yield _batch(_TOLD, [(block, k, ids, n)])
+
+
+def _keys(ids: np.ndarray, b: dict) -> np.ndarray:
+    """The pair (word before, word) of each token as one number; a first word follows the end."""
+    at = ids.astype(np.uint64)[unpack(b["codes"])]
+    before = np.concatenate([ids[b["end"] : b["end"] + 1].astype(np.uint64), at[:-1]])  # an end is the word before the next document's first
+    return before << np.uint64(32) | at
+
+
+def _cell_of(keys: np.ndarray, cells: int, hot: dict) -> np.ndarray:
+    """The cell of each of the sorted pairs: that of the word before, or one of several if that word is hot."""
+    before = (keys >> np.uint64(32)).astype(np.int64)
+    cell = before % cells
+    if len(hot["ids"]):
+        at = np.minimum(np.searchsorted(hot["ids"], before), len(hot["ids"]) - 1)
+        dealt = np.flatnonzero(hot["ids"][at] == before)
+        spread = (keys[dealt] & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        cell[dealt] = (cell[dealt] + (spread % hot["parts"][at[dealt]].astype(np.uint64)).astype(np.int64)) % cells
+    return cell
+
+
+_COUNTED = "block string, cell int, before binary, per_word binary, words binary, counts binary"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], cells: int, uri: str, whole: dict) -> Iterator[pa.RecordBatch]:
+    """A block's distinct pairs with their training counts, to their cells; its base scores and word numbers go to a file."""
+    common.keep_only()
+    for group in _runs(batches, ["block"]):
+        name = group.column("block")[0].as_py()
+        b = _load(uri, name)
+        ids = np.concatenate([unpack(x.as_py()) for x in group.column("ids")])
+        n = np.concatenate([unpack(x.as_py()) for x in group.column("n")]).astype(np.int64)
+        codes = unpack(b["codes"])
+        start = np.concatenate([[0], np.cumsum(b["sizes"])[:-1]])
+        base = np.log10((n + 1) / (whole["tokens"] + whole["words"] + 1))
+        _save(uri, f"base-{name}", {"ids": pack(ids), "known": np.add.reduceat((n > 0)[codes].astype(np.int64), start), "base": np.add.reduceat(base[codes], start)})
+        keys, which = np.unique(_keys(ids, b), return_inverse=True)
+        counts = np.bincount(which, np.repeat(np.array(b["trains"], float), b["sizes"]), len(keys)).astype(np.int64)
+        del which, codes
+        cell = _cell_of(keys, cells, whole["hot"])
+        order = np.argsort(cell, kind="stable")
+        cell, keys, counts = cell[order], keys[order], counts[order]
+        present, at = np.unique(cell, return_index=True)
+        edge = [*at.tolist(), len(cell)]
+        for k, x, y in zip(present.tolist(), edge, edge[1:]):
+            before, lens = np.unique(keys[x:y] >> np.uint64(32), return_counts=True)
+            yield _batch(_COUNTED, [(name, k, pack(before), pack(lens), pack(keys[x:y] & np.uint64(0xFFFFFFFF)), pack(counts[x:y]))])
 
 
 def first_tables(c: np.ndarray) -> np.ndarray:
@@ -159,92 +227,176 @@ def first_tables(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.maximum(1, np.rint(np.power(np.maximum(c, 1), 0.75))), 0).astype(np.int64)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
-    """Merges a bucket's counts of all blocks, leaves them in a file, and gives its sums by context and over all."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append(row)
-    held_any, total = bool(held), {0: np.zeros(ALL, np.int64), 1: np.zeros(ALL, np.int64), 2: np.zeros(7, np.int64)}
-    for bucket in sorted(held):
-        rows = sorted(held.pop(bucket), key=lambda r: r["block"])
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        merged = np.unique(np.concatenate(words))
+_UP = "origin int, cell int, places binary, tables binary, extra binary"
+
+
+class Restaurants:
+    """The restaurants of a pairs' cell: one row for each pair, sorted by the word before."""
+
+    def __init__(self, b: dict, hot: dict):
+        self.before, self.lens, self.words = unpack(b["before"]).astype(np.int64), unpack(b["lens"]).astype(np.int64), unpack(b["words"])
+        self.word, self.c = unpack(b["word"]).astype(np.int64), unpack(b["c"]).astype(np.int64)
+        self.of = np.repeat(np.arange(len(self.before)), self.lens)
+        self.several = np.flatnonzero(self.c > 1)
+        self.t = np.minimum(self.c, 1)
+        self.hot = np.flatnonzero(np.isin(self.before, hot["ids"]))
+        self.hot_at = np.searchsorted(hot["ids"], self.before[self.hot])
+        self.customers = np.bincount(self.of, self.c, len(self.before))
+        self.customers[self.hot] = hot["n"][self.hot_at]
+
+    def tables(self, of_hot: np.ndarray | None) -> np.ndarray:
+        """Tables of each restaurant; those of hot ones, which lie in several cells, are given."""
+        out = np.bincount(self.of, self.t, len(self.before)).astype(np.int64)
+        if of_hot is not None:
+            out[self.hot] = of_hot[self.hot_at]
+        return out
+
+    def sweep(self, p: np.ndarray, of_hot: np.ndarray, d: float, rng: np.random.Generator) -> None:
+        for half in (0, 1):
+            total = self.tables(of_hot)
+            some = self.several[self.several % 2 == half]
+            of = self.of[some]
+            others = np.maximum(total[of] - self.t[some], 0)
+            self.t[some] = drawn(self.c[some], STRENGTH + d * others, p[self.word[some]], d, rng)
+
+    def predictive(self, p: np.ndarray, of_hot: np.ndarray, d: float) -> np.ndarray:
+        return (self.c - d * self.t + (STRENGTH + d * self.tables(of_hot)[self.of]) * p[self.word]) / (STRENGTH + self.customers[self.of])
+
+    def up(self, cell: int, cells: int, first: bool) -> pa.RecordBatch:
+        """Tables by word for the words' cells; in the first round with the words' places there, and the counts of ones and twos."""
+        tables = np.bincount(self.word, self.t, len(self.words)).astype(np.int64)
+        to, place = np.divmod(self.words.astype(np.int64), cells)[::-1]
+        present, at = np.unique(to, return_index=True)
+        edge = [*at.tolist(), len(to)]
+        rows = [(cell, k, pack(place[a:b]) if first else None, pack(tables[a:b]), None) for k, a, b in zip(present.tolist(), edge, edge[1:])]
+        part = np.bincount(self.of, self.t, len(self.before)).astype(np.int64)[self.hot]
+        extra = np.concatenate([[int((self.c == 1).sum()), int((self.c == 2).sum())], self.hot_at, part]).astype("<i8")
+        return _batch(_UP, [*rows, (cell, cell, None, None, extra.tobytes())])
+
+
+def _gather(batches: Iterator[pa.RecordBatch], cells: int, uri: str, whole: dict) -> Iterator[pa.RecordBatch]:
+    """Merges a cell's pairs of all blocks, leaves them in a file, and sends the first tables up."""
+    common.keep_only()
+    for group in _runs(batches, ["cell"]):
+        cell, names = group.column("cell")[0].as_py(), group.column("block").to_pylist()
         keys = []
-        for w, r in zip(words, rows):
-            keys.append(np.repeat(np.searchsorted(merged, w), np.frombuffer(r["per_word"], "<u4")) * ALL + np.frombuffer(r["context"], "<u2"))
-        pairs, which = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(which, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), len(pairs)).astype(np.int64)
-        word, ctx = pairs // ALL, pairs % ALL
-        n = np.bincount(word, c, len(merged)).astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
-        blocks = [(r["block"], which[a:b].astype("<u4"), np.searchsorted(merged, w).astype("<u4")) for r, w, a, b in zip(rows, words, edge, edge[1:])]
-        _save(uri, f"bucket-{bucket}", {"word": word.astype("<u4"), "ctx": ctx.astype("<u2"), "c": c.astype("<u4"), "n": n, "blocks": blocks})
-        t = first_tables(c)
-        root = np.bincount(word, t, len(merged)).astype(np.int64)
-        once, twice = lambda x: int((x == 1).sum()), lambda x: int((x == 2).sum())
-        total[0] += np.bincount(ctx, c, ALL).astype(np.int64)
-        total[1] += np.bincount(ctx, t, ALL).astype(np.int64)
-        total[2] += [int(n.sum()), int((n > 0).sum()), once(c), twice(c), once(root), twice(root), int(first_tables(root).sum())]
-    if held_any:
-        yield from _pieces(total)
-
-
-def _pieces(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums of one task in pieces of a fixed length, so that pieces can be added up side by side."""
-    rows = [(kind, k // PIECE, v[k : k + PIECE].tobytes()) for kind, v in total.items() for k in range(0, len(v), PIECE)]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "piece", "sums"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for kind, piece, raw in zip(batch.column("kind").to_pylist(), batch.column("piece").to_pylist(), batch.column("sums")):
-            v = np.frombuffer(raw.as_py(), np.int64)
-            sums[kind, piece] = sums[kind, piece] + v if (kind, piece) in sums else v
-    for (kind, piece), v in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([piece], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["kind", "piece", "sums"])
+        for before, lens, words in zip(group.column("before"), group.column("per_word"), group.column("words")):
+            keys.append(np.repeat(unpack(before.as_py()).astype(np.uint64) << np.uint64(32), unpack(lens.as_py())) | unpack(words.as_py()).astype(np.uint64))
+        merged = np.unique(np.concatenate(keys))
+        which = [np.searchsorted(merged, k) for k in keys]
+        c = np.zeros(len(merged), np.int64)
+        for w, counts in zip(which, group.column("counts")):
+            c[w] += unpack(counts.as_py())
+        before, lens = np.unique(merged >> np.uint64(32), return_counts=True)
+        words, word = np.unique(merged & np.uint64(0xFFFFFFFF), return_inverse=True)
+        order = np.lexsort((words // np.uint64(cells), words % np.uint64(cells)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        b = {"before": pack(before), "lens": pack(lens), "words": pack(words[order]), "word": pack(place[word]), "c": pack(c)}
+        _save(uri, f"cell-{cell}", b)
+        _save(uri, f"asked-{cell}", [(name, pack(w)) for name, w in zip(names, which)])
+        r = Restaurants(b, whole["hot"])
+        r.t = first_tables(r.c)
+        _save(uri, f"state-0-{cell}", pack(r.t[r.several]))
+        yield r.up(cell, cells, True)
+
+
+_SUMS = "cell int, customers long, tables long, ones long, twos long, extra binary"
+
+
+def _root(batches: Iterator[pa.RecordBatch], uri: str, turn: int, whole: dict) -> Iterator[pa.RecordBatch]:
+    """Seats the root's customers, the tables of all restaurants by word, in a words' cell."""
+    for group in _runs(batches, ["cell"]):
+        cell, rows = group.column("cell")[0].as_py(), group.to_pylist()
+        extra = next((r["extra"] for r in rows if r["extra"] is not None), None)
+        rows = sorted((r for r in rows if r["tables"] is not None), key=lambda r: r["origin"])
+        places = [unpack(r["places"]) for r in rows] if turn == 0 else [unpack(x) for _, x in _load(uri, f"places-{cell}")]
+        if turn == 0:
+            _save(uri, f"places-{cell}", [(r["origin"], r["places"]) for r in rows])
+        customers = np.zeros(max((int(x.max()) + 1 for x in places), default=0), np.int64)
+        for x, r in zip(places, rows):
+            customers[x] += unpack(r["tables"])
+        if turn == 0:
+            tables = first_tables(customers)
+        else:
+            tables = drawn(customers, np.full(len(customers), ROOT_STRENGTH + whole["d_root"] * whole["root_tables"]), np.full(len(customers), whole["base"]), whole["d_root"], np.random.default_rng([SEED, turn, cell, 1]), 0.0)
+        _save(uri, f"root-{turn}-{cell}", (pack(customers), pack(tables)))
+        yield _batch(_SUMS, [(cell, int(customers.sum()), int(tables.sum()), int((customers == 1).sum()), int((customers == 2).sum()), extra)])
 
 
-def _added(df: DataFrame) -> dict[int, np.ndarray]:
-    """The sums of all tasks by kind: a fixed number of pieces comes to the driver."""
-    got = common.saved(df, "hpylm-sums").repartition(64, "kind", "piece").mapInArrow(_add, _SUMS).collect()
-    return {kind: np.concatenate([np.frombuffer(r.sums, np.int64) for r in sorted((r for r in got if r.kind == kind), key=lambda r: r.piece)]) for kind in {r.kind for r in got}}
+def root_probability(customers: np.ndarray, tables: np.ndarray, w: dict) -> np.ndarray:
+    return (customers - w["d_root"] * tables + (ROOT_STRENGTH + w["d_root"] * w["root_tables"]) * w["base"]) / (ROOT_STRENGTH + w["root_customers"])
 
 
-_SUMS = "kind int, piece int, sums binary"
+_DOWN = "cell int, origin int, p binary"
 
 
-def move(sizes: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> None:
-    """One Gibbs step for each row: a random customer leaves its table and is seated again, by size - d or at a new table by a."""
-    rows = np.arange(len(sizes))
-    cum = sizes.cumsum(1)
-    k = (cum <= (rng.random(len(sizes)) * cum[:, -1])[:, None]).sum(1)
-    sizes[rows, k] -= 1
-    cum = np.where(sizes > 0, sizes - d, 0).cumsum(1)
-    u = rng.random(len(sizes)) * (cum[:, -1] + a)
-    old = u < cum[:, -1]
-    k = np.where(old, np.minimum((cum <= u[:, None]).sum(1), sizes.shape[1] - 1), (sizes == 0).argmax(1))
-    sizes[rows, k] += 1
+def _down(batches: Iterator[pa.RecordBatch], cells: list[int], uri: str, turn: int, whole: dict) -> Iterator[pa.RecordBatch]:
+    """The root's probabilities, in the order in which each pairs' cell has the words."""
+    for k in (cells[k] for b in batches for k in b.column(0).to_pylist()):
+        customers, tables = _load(uri, f"root-{turn}-{k}")
+        p = root_probability(unpack(customers).astype(float), unpack(tables).astype(float), whole).astype("<f4")
+        for origin, places in _load(uri, f"places-{k}"):
+            yield _batch(_DOWN, [(origin, k, p[unpack(places)].tobytes())])
 
 
-_EDGES = np.unique(np.concatenate([np.arange(1, 17), np.rint(16 * 1.25 ** np.arange(1, 160))])).astype(np.int64)
+def _received(group: pa.Table) -> tuple[int, np.ndarray]:
+    got = sorted(zip(group.column("origin").to_pylist(), group.column("p")), key=lambda x: x[0])
+    return group.column("cell")[0].as_py(), np.concatenate([np.frombuffer(p.as_py(), "<f4") for _, p in got]).astype(float)
 
 
-def seated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose customers come in one after the other, in runs that grow with the number seated, if any dish could be theirs.
+def _seated(uri: str, cell: int, turn: int, whole: dict) -> Restaurants:
+    r = Restaurants(_load(uri, f"cell-{cell}"), whole["hot"])
+    r.t[r.several] = unpack(_load(uri, f"state-{turn}-{cell}"))
+    return r
 
-    Not the law of a seating whose dishes are known: that is ``drawn``.
-    """
-    t = (c > 0).astype(np.int64)
-    for low, high in zip(_EDGES, _EDGES[1:]):
-        at = np.flatnonzero(c > low)
-        if not len(at):
-            break
-        some = np.minimum(c[at], high) - low
-        middle = low + (some - 1) / 2
-        t[at] += rng.binomial(some, np.clip(a[at] / (np.maximum(middle - d * t[at], 1e-9) + a[at]), 0, 1))
-    return np.minimum(t, c)
+
+def _round(batches: Iterator[pa.RecordBatch], cells: int, uri: str, turn: int, whole: dict, of_hot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The sweeps of a pairs' cell in one round, from the state of the round before; the tables go up."""
+    common.keep_only()
+    for group in _runs(batches, ["cell"]):
+        cell, p = _received(group)
+        r = _seated(uri, cell, turn - 1, whole)
+        if turn - 1 > BURN:
+            _save(uri, f"sample-{turn - 1}-{cell}", p.astype("<f4"))
+        rng = np.random.default_rng([SEED, turn, cell, 0])
+        for _ in range(SWEEPS):
+            r.sweep(p, of_hot[turn - 1], whole["d"], rng)
+        _save(uri, f"state-{turn}-{cell}", pack(r.t[r.several]))
+        yield r.up(cell, cells, False)
+
+
+_ANSWERED = "block string, cell int, logs binary"
+
+
+def _answer(batches: Iterator[pa.RecordBatch], uri: str, turn: int, whole: dict, of_hot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """log10 of the pairs' predictive probabilities, averaged over the samples, for each block in its order."""
+    common.keep_only()
+    for group in _runs(batches, ["cell"]):
+        cell, p = _received(group)
+        total = 0.0
+        for k in range(BURN + 1, turn + 1):
+            r = _seated(uri, cell, k, whole)
+            total = total + r.predictive(p if k == turn else _load(uri, f"sample-{k}-{cell}").astype(float), of_hot[k], whole["d"])
+        logs = np.log10(total / (turn - BURN)).astype("<f4")
+        for block, which in _load(uri, f"asked-{cell}"):
+            yield _batch(_ANSWERED, [(block, cell, logs[unpack(which)].tobytes())])
+
+
+def _score(batches: Iterator[pa.RecordBatch], cells: int, uri: str, whole: dict) -> Iterator[pa.RecordBatch]:
+    common.keep_only()
+    for group in _runs(batches, ["block"]):
+        name = group.column("block")[0].as_py()
+        b, base = _load(uri, name), _load(uri, f"base-{name}")
+        keys, which = np.unique(_keys(unpack(base["ids"]), b), return_inverse=True)
+        got = sorted(zip(group.column("cell").to_pylist(), group.column("logs")), key=lambda x: x[0])
+        logs = np.empty(len(keys))
+        logs[np.argsort(_cell_of(keys, cells, whole["hot"]), kind="stable")] = np.concatenate([np.frombuffer(x.as_py(), "<f4") for _, x in got])
+        at = np.concatenate([[0], np.cumsum(b["sizes"])[:-1]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(b["docs"], pa.int64()), pa.array([not t for t in b["trains"]]), pa.array(b["sizes"].astype(np.int64)), pa.array(base["known"]), pa.array([whole["tokens"]] * len(at), pa.int64()), pa.array(base["base"]), pa.array(np.add.reduceat(logs[which], at))],
+            names=[x.split()[0] for x in SCHEMA.split(", ")],
+        )
 
 
 @lru_cache(maxsize=4)
@@ -268,13 +420,18 @@ def _ahead(seats: np.ndarray, a: np.ndarray, left: np.ndarray, d: float) -> np.n
     return (low + high) / 2
 
 
-def _exact(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with 1 to EXACT customers by the law a ** t * S(c, t)."""
+def _exact(c: np.ndarray, log_a: np.ndarray, grow: np.ndarray | None, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with 1 to EXACT customers by the law a ** t * S(c, t) * (1 + grow) ... (1 + (t - 1) grow)."""
     t, weights = np.ones(len(c), np.int64), log_seatings(d)
-    limit = np.exp(np.minimum(log_a, 50)) / d  # with ever more customers, t - 1 tends to a Poisson law of this mean
-    width = np.minimum(c, limit + 10 * np.sqrt(limit) + 25).astype(np.int64)  # all but e ** -40 of the law
+    two = np.flatnonzero(c == 2)
+    a = np.exp(log_a[two]) * (1 if grow is None else 1 + grow[two])
+    t[two] += rng.random(len(two)) * (1 - d + a) < a
+    limit = np.exp(np.minimum(log_a, 50)) / d  # with ever more customers, t - 1 tends to a Poisson law of this mean, or to a wider one
+    if grow is not None:
+        limit = limit / np.maximum(1 - grow * limit, 1e-9)
+    width = np.minimum(c, limit + 8 * np.sqrt(limit) + 12).astype(np.int64)  # all but e ** -25 of the law
     order = np.argsort(width, kind="stable")
-    order = order[c[order] > 1]
+    order = order[c[order] > 2]
     widths = width[order]
     at = 0
     while at < len(order):
@@ -282,29 +439,36 @@ def _exact(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator)
         some = order[at : min(np.searchsorted(widths, most, "right"), at + max(1, (1 << 19) // most))]
         most = width[some].max()
         w = weights[c[some], 1 : most + 1] + np.arange(1, most + 1) * log_a[some, None]
+        if grow is not None:
+            w += np.log1p(np.arange(most) * grow[some, None]).cumsum(1)
         cum = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
         t[some] = 1 + (cum <= (rng.random(len(some)) * cum[:, -1])[:, None]).sum(1)
         at += len(some)
     return np.minimum(t, c)
 
 
-def drawn(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes given that all their customers eat that dish: the law a ** t * S(c, t), as the Gibbs steps leave it.
+def drawn(c: np.ndarray, seats: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator, step: float | None = None) -> np.ndarray:
+    """Tables of dishes given that all their customers eat that dish: the law p ** t * S(c, t) * seats (seats + step) ... (seats + (t - 1) step).
 
-    Beyond EXACT customers, the first ones are seated by that law and the others in runs, both with new tables weighted by what the customers
-    to come make of them (a saddle point of the generating function of the ways to seat these).
+    ``step`` is d, as new tables add to their own restaurant's weight, unless it is given. Beyond EXACT customers, the first ones are seated
+    by the law with a fixed weight and the others in runs, both with new tables weighted by what the customers to come make of them (a saddle
+    point of the generating function of the ways to seat these). The step comes in through an auxiliary gamma variable y of shape
+    seats / step + t: given y, the law has the fixed weight step * y * p.
     """
     t = np.zeros(len(c), np.int64)
-    log_a = np.log(np.maximum(a, 1e-300))
+    step = d if step is None else step
+    log_a = np.log(np.maximum(seats * p, 1e-300))
     at = np.flatnonzero((c > 0) & (c <= EXACT))
-    t[at] = _exact(c[at], log_a[at], d, rng)
+    t[at] = _exact(c[at], log_a[at], step / seats[at] if step else None, d, rng)
     at = np.flatnonzero(c > EXACT)
-    if len(at):
-        n, b, first = c[at], a[at], np.full(len(at), EXACT)
+    for turn in range(8 if step else 1):
+        if not len(at):
+            break
+        n, b, first = c[at], (seats[at] if turn == 0 else step * rng.gamma(seats[at] / step + t[at])) * p[at], np.full(len(at), EXACT)
         mean = np.ones(len(at))
         for _ in range(3):  # the tables there are of the first customers decide on what is ahead
             y = _ahead(EXACT - d * mean, b, n - EXACT, d)
-            mean = _exact(first, log_a[at] + d * y, d, rng).astype(float)
+            mean = _exact(first, np.log(np.maximum(b, 1e-300)) + d * y, None, d, rng).astype(float)
         now = mean.astype(np.int64)
         low = EXACT
         while (live := np.flatnonzero(n > low)).size:
@@ -318,121 +482,6 @@ def drawn(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> n
     return t
 
 
-class Seating:
-    """The seating of one bucket's dishes."""
-
-    def __init__(self, word: np.ndarray, ctx: np.ndarray, c: np.ndarray, n_words: int, whole: dict, rng: np.random.Generator):
-        self.word, self.ctx, self.c, self.n_words, self.whole, self.rng = word, ctx, c, n_words, whole, rng
-        self.t = first_tables(c)
-        self.start = np.bincount(ctx, self.t, ALL)
-        self.start_root = None
-        self.groups = []
-        low = 2
-        for high in (2, 4, 8, 16, SMALL):
-            at = np.flatnonzero((c >= low) & (c <= high))
-            low = high + 1
-            if len(at):
-                t = np.minimum(self.t[at], c[at])
-                sizes = (np.arange(high) < t[:, None]).astype(np.float32)
-                sizes[:, 0] += c[at] - t
-                self.groups.append((at, sizes))
-        self.large = np.flatnonzero(c > SMALL)
-        self.seat_root()
-
-    def _ratio(self, now, start):
-        return (now + 1) / (start + 1)
-
-    def seat_root(self) -> None:
-        w = self.whole
-        self.customers = np.bincount(self.word, self.t, self.n_words).astype(np.int64)
-        total = self.customers.sum()
-        if self.start_root is None:
-            self.start_root = (total, first_tables(self.customers).sum())
-            tables = w["root_tables"]
-        else:
-            tables = w["root_tables"] * self._ratio(self.root.sum(), self.start_root[1])
-        a = np.full(self.n_words, (ROOT_STRENGTH + w["d_root"] * tables) * w["base"])
-        self.root = drawn(self.customers, a, w["d_root"], self.rng)
-        customers, tables = w["root_customers"] * self._ratio(total, self.start_root[0]), w["root_tables"] * self._ratio(self.root.sum(), self.start_root[1])
-        self.p = root_probability(self.customers, self.root, customers, tables, w)
-
-    def sweep(self) -> None:
-        w = self.whole
-        tables = w["t"] * self._ratio(np.bincount(self.ctx, self.t, ALL), self.start)
-        a = (STRENGTH + w["d"] * tables[self.ctx]) * self.p[self.word]
-        for at, sizes in self.groups:
-            c = self.c[at]
-            for k in range(sizes.shape[1]):
-                some = np.flatnonzero(c > k)  # as many steps as the dish has customers
-                if len(some) == len(at):
-                    move(sizes, a[at], w["d"], self.rng)
-                else:
-                    part = sizes[some]
-                    move(part, a[at[some]], w["d"], self.rng)
-                    sizes[some] = part
-            self.t[at] = (sizes > 0).sum(1)
-        self.t[self.large] = drawn(self.c[self.large], a[self.large], w["d"], self.rng)
-        self.seat_root()
-
-
-def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, w: dict) -> np.ndarray:
-    return (customers - w["d_root"] * tables + (ROOT_STRENGTH + w["d_root"] * all_tables) * w["base"]) / (ROOT_STRENGTH + all_customers)
-
-
-def _sample(batches: Iterator[pa.RecordBatch], uri: str, names: list[int], whole: dict) -> Iterator[pa.RecordBatch]:
-    """Samples a bucket's seating, leaves the samples in a file, and gives the tables by context and the root's sums of each."""
-    total = {j: np.zeros(ALL + 2, np.int64) for j in range(SAMPLES)}
-    for k in (k for b in batches for k in b.column(0).to_pylist()):
-        b = _load(uri, f"bucket-{names[k]}")
-        word, ctx, c = b["word"].astype(np.int64), b["ctx"].astype(np.int64), b["c"].astype(np.int64)
-        s = Seating(word, ctx, c, len(b["n"]), whole, np.random.default_rng([SEED, names[k]]))
-        kept = []
-        for sweep in range(BURN + SAMPLES * APART):
-            s.sweep()
-            if sweep >= BURN and (sweep - BURN) % APART == APART - 1:
-                kept.append((s.t.astype("<u4"), s.customers.astype("<u4"), s.root.astype("<u4")))
-        _save(uri, f"samples-{names[k]}", kept)
-        for j, (t, customers, root) in enumerate(kept):
-            total[j][:ALL] += np.bincount(ctx, t, ALL).astype(np.int64)
-            total[j][ALL:] += [int(customers.sum()), int(root.sum())]
-    yield from _pieces(total)
-
-
-def predictive(word, ctx, c, samples, sums, whole) -> np.ndarray:
-    """The mean over the samples of each pair's predictive probability."""
-    out = np.zeros(len(c))
-    for (t, customers, root), total in zip(samples, sums):
-        p = root_probability(customers.astype(float), root.astype(float), total[ALL], total[ALL + 1], whole)
-        seats, tables = whole["c"][ctx], total[ctx]
-        out += (c - whole["d"] * np.where(c > 0, t, 0) + (STRENGTH + whole["d"] * tables) * p[word]) / (STRENGTH + seats)
-    return out / max(len(samples), 1)
-
-
-def _answer(batches: Iterator[pa.RecordBatch], uri: str, names: list[int], whole: dict, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each block of a bucket: log10 probabilities of its pairs and training counts of its words, in the block's order."""
-    for k in (k for b in batches for k in b.column(0).to_pylist()):
-        b = _load(uri, f"bucket-{names[k]}")
-        p = predictive(b["word"].astype(np.int64), b["ctx"].astype(np.int64), b["c"].astype(float), _load(uri, f"samples-{names[k]}"), sums, whole)
-        logs, n = np.log10(p).astype("<f4"), b["n"].astype("<u4")
-        for block, which, words in b["blocks"]:
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([names[k]], pa.int32()), pa.array([logs[which].tobytes()], pa.binary()), pa.array([n[words].tobytes()], pa.binary())], names=["block", "bucket", "logs", "n"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], uri: str, whole: dict) -> Iterator[pa.RecordBatch]:
-    for group in _runs(batches, ["block"]):
-        answers = sorted(group.to_pylist(), key=lambda r: r["bucket"])
-        b = _load(uri, answers[0]["block"])
-        logs = np.concatenate([np.frombuffer(r["logs"], "<f4") for r in answers]).astype(float)
-        n = np.repeat(np.concatenate([np.frombuffer(r["n"], "<u4") for r in answers]).astype(np.int64), b["per_word"])
-        base = np.log10((n + 1) / (whole["tokens"] + whole["words"] + 1))
-        at = np.concatenate([[0], np.cumsum(b["sizes"])[:-1]])
-        add = lambda x: np.add.reduceat(x[b["which"]], at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(b["docs"], pa.int64()), pa.array([not t for t in b["trains"]]), pa.array(b["sizes"].astype(np.int64)), pa.array(add((n > 0).astype(np.int64))), pa.array([whole["tokens"]] * len(at), pa.int64()), pa.array(add(base)), pa.array(add(logs))],
-            names=[x.split()[0] for x in SCHEMA.split(", ")],
-        )
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
@@ -443,27 +492,44 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     uri, parts = common.scratch(spark, "hpylm"), common.shuffle_partitions(spark)
     filesystem(uri)[0].create_dir(filesystem(uri)[1], recursive=True)
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (sampling.fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("train"))
-    top = ready.mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(CONTEXTS).collect()
-    contexts = spark.sparkContext.broadcast({bytes(r.word): k for k, r in enumerate(top)})
-    counted = ready.mapInArrow(lambda it: _blocks(it, contexts.value, parts, uri), _COUNTED)
-    sums = _added(counted.repartition(parts, "bucket").mapInArrow(lambda it: _gather(it, uri), _SUMS))
-    names = sorted(int(f.base_name[7:]) for f in _listed(uri) if f.base_name.startswith("bucket-"))
-    if not names:
+    n_bytes, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    if not rows:
         return spark.createDataFrame([], SCHEMA)
-    c, t, extra = sums[0].astype(float), sums[1].astype(float), sums[2].tolist()
-    n, v, one, two, root_one, root_two, root_tables = extra
-    discount = lambda a, b: min(max(a / max(a + 2 * b, 1), 0.05), 0.95)
-    whole = {"tokens": n, "words": v, "base": 1 / (v + 1), "c": c, "t": t, "d": discount(one, two), "d_root": discount(root_one, root_two), "root_customers": float(t.sum()), "root_tables": float(root_tables)}
-    tasks = spark.range(0, len(names), 1, min(len(names), 4 * parts))
-    drawn = _added(tasks.mapInArrow(lambda it: _sample(it, uri, names, whole), _SUMS))
-    totals = np.stack([drawn[j] for j in range(SAMPLES)]).astype(float)
-    answers = tasks.mapInArrow(lambda it: _answer(it, uri, names, whole, totals), "block string, bucket int, logs binary, n binary")
-    return answers.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _score(it, uri, whole), SCHEMA)
+    cells = max(1, -(-(n_bytes or 0) // CELL_BYTES))
+    dealt = lambda df, *by: df.repartition(parts, by[0]).sortWithinPartitions(*by)
 
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (sampling.fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("train"))
+    spoken = ready.mapInArrow(lambda it: _blocks(it, cells, uri), _SPOKEN)
+    numbered = dealt(spoken, "cell", "block").mapInArrow(lambda it: _words(it, cells, uri), _NUMBERED).collect()
+    present = sorted(r.cell for r in numbered)
+    hot = np.concatenate([np.frombuffer(r.hot, np.int64).reshape(2, -1) for r in numbered], axis=1)
+    hot = hot[:, np.argsort(hot[0])]
+    whole = {"tokens": sum(r.tokens for r in numbered), "words": sum(r.words for r in numbered), "hot": {"ids": hot[0], "n": hot[1], "parts": np.minimum(-(-hot[1] // HOT), cells)}}
+    whole["base"] = 1 / (whole["words"] + 1)
+    common.forget_shuffles(spark)
+    each = spark.range(0, len(present), 1, min(len(present), 4 * parts))
+    told = each.mapInArrow(lambda it: _tell(it, present, uri), _TOLD)
+    counted = dealt(told, "block", "cell").mapInArrow(lambda it: _pairs(it, cells, uri, whole), _COUNTED)
+    up = dealt(counted, "cell", "block").mapInArrow(lambda it: _gather(it, cells, uri, whole), _UP)
+
+    of_hot: list[np.ndarray] = []
+    last = BURN + SAMPLES
+    discount = lambda a, b: min(max(a / max(a + 2 * b, 1), 0.05), 0.95)
+    for turn in range(last + 1):
+        sums = dealt(up, "cell", "origin").mapInArrow(lambda it, turn=turn, whole=whole: _root(it, uri, turn, whole), _SUMS).collect()
+        common.forget_shuffles(spark)
+        extra = [np.frombuffer(r.extra, "<i8") for r in sums if r.extra is not None]
+        whole = whole | {"root_customers": float(sum(r.customers for r in sums)), "root_tables": float(sum(r.tables for r in sums))}
+        if turn == 0:
+            whole |= {"d": discount(sum(int(x[0]) for x in extra), sum(int(x[1]) for x in extra)), "d_root": discount(sum(r.ones for r in sums), sum(r.twos for r in sums))}
+        tables = np.zeros(len(hot[0]), np.int64)
+        for x in extra:
+            at, part = x[2:].reshape(2, -1)
+            tables[at] += part
+        of_hot.append(tables)
+        down = dealt(each.mapInArrow(lambda it, turn=turn, whole=whole: _down(it, present, uri, turn, whole), _DOWN), "cell", "origin")
+        if turn < last:
+            up = down.mapInArrow(lambda it, turn=turn, whole=whole, of_hot=list(of_hot): _round(it, cells, uri, turn + 1, whole, of_hot), _UP)
+    answers = down.mapInArrow(lambda it: _answer(it, uri, last, whole, of_hot), _ANSWERED)
+    return dealt(answers, "block", "cell").mapInArrow(lambda it: _score(it, cells, uri, whole), SCHEMA)
 
-def _listed(uri: str):
-    from pyarrow.fs import FileSelector
-
-    fs, root = filesystem(uri)
-    return fs.get_file_info(FileSelector(root))
