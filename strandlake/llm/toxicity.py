@@ -6,7 +6,10 @@ when a document is scored, they are the chain's own.
 
 Terms are the words of the whole text in lower case, and the beginnings of words at ``STEMS`` lengths, so that inflected or compounded
 forms of a word share evidence. Of a bounded sample of labelled rows (``SAMPLE``), all terms are counted by label, and the ``TERMS``
-terms that stand out most form the inputs; nothing else of the corpus is gathered.
+terms that stand out most form the inputs; nothing else of the corpus is gathered. What is lost by the bound are terms of weaker evidence.
+
+The categories are the given label columns, in their order. Where there is one alone, the chain's categories are severities of it
+(``CATEGORIES``), told by the number of words that occur among toxic rows above all.
 """
 
 from __future__ import annotations
@@ -129,7 +132,8 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             found = sorted({t for w in set(split(batch.column("text")[k].as_py())) for t in terms(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([batch.column("label")[k].as_py()] * len(found), pa.int32())], names=["term", "label"])
+            own = batch.column("labels")[k].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([own] * len(found), pa.list_(pa.int32()))], names=["term", "labels"])
 
 
 class Model:
@@ -140,25 +144,35 @@ class Model:
         return self.chain.probabilities(self.bag.rows(texts), len(texts))
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out: int | None = None) -> Model:
-    """Fits the chain on a bounded sample of labelled rows; ``held_out``: a fold of crc32(doc_id) modulo 3 that isn't learned from."""
-    usable = sampling.one_label(labels, column)
+def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("toxic",), held_out: int | None = None) -> Model:
+    """Fits the chain on a bounded sample of labelled rows; ``held_out``: a fold of crc32(doc_id) modulo 3 that isn't learned from.
+
+    Rows labelled in the last of ``columns`` are learned from; where another column has no label for such a row, it counts as 0.
+    """
+    names = list(columns) if len(columns) > 1 else list(CATEGORIES)
+    usable = sampling.one_label(labels, columns[-1]).withColumnRenamed("label", "_last")
     if held_out is not None:
         usable = usable.where(sampling.fold(F.col("doc_id"), 3) != held_out)
     bound = sampling.share(usable.count(), SAMPLE)
-    chosen = usable.where(sampling.place(F.col("doc_id"), 23) < bound).limit(2 * SAMPLE)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    chosen = usable.where(sampling.place(F.col("doc_id"), 23) < bound)  # about SAMPLE ids, by their hashes
+    for k, column in enumerate(columns[:-1]):
+        chosen = chosen.join(sampling.one_label(labels, column).withColumnRenamed("label", f"_{k}"), "doc_id", "left")
+    chosen = chosen.select("doc_id", F.array(*[F.coalesce(f"_{k}", F.lit(0)) for k in range(len(columns) - 1)], F.col("_last")).alias("labels"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "labels").agg(F.min("text").alias("text"))  # of rows that share an id, the least text is learned from
     rows = common.saved(rows, "toxic-sample")
-    counted = rows.mapInArrow(_terms_of, "term binary, label int").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).where("n >= 4")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    share = total.toxic / max(total.n, 1)
-    if not 0 < share < 1:
-        return Model(Bag([]), Chain((np.zeros(0, np.int64),) * 3, np.zeros((0, len(CATEGORIES))), 0, np.zeros(0)), list(CATEGORIES))
-    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counted.withColumn("z", z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
-    rate = lambda r: (r.toxic / total.toxic) / ((r.n - r.toxic + 0.5) / (total.n - total.toxic))
+    of = [F.coalesce(F.sum(F.col("labels")[k]), F.lit(0)).alias(f"y{k}") for k in range(len(columns))]
+    counted = rows.mapInArrow(_terms_of, "term binary, labels array<int>").groupBy("term").agg(F.count(F.lit(1)).alias("n"), *of).where("n >= 4")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), *of).first()
+    shares = [total[f"y{k}"] / max(total.n, 1) for k in range(len(columns))]
+    if not 0 < shares[-1] < 1:
+        return Model(Bag([]), Chain((np.zeros(0, np.int64),) * 3, np.zeros((0, len(names))), 0, np.zeros(0)), names)
+    z = [F.abs((F.col(f"y{k}") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))) for k, p in enumerate(shares) if 0 < p < 1]
+    best = counted.withColumn("z", F.greatest(*z) if len(z) > 1 else z[0]).orderBy(F.col("z").desc(), "term").limit(TERMS).collect()
     bag = Bag([bytes(r.term) for r in best])
-    marked = {k for k, r in enumerate(best) if rate(r) > TIMES and bytes(r.term)[-1:] != b"*"}
+    toxic = total[f"y{len(columns) - 1}"]
+    rate = lambda r, y: (y / toxic) / ((r.n - y + 0.5) / (total.n - toxic))
+    marked = {k for k, r in enumerate(best) if rate(r, r[f"y{len(columns) - 1}"]) > TIMES and bytes(r.term)[-1:] != b"*"}
 
     held = rows.sparkSession.sparkContext.broadcast(bag)
 
@@ -166,27 +180,27 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out: i
         for batch in batches:
             texts = batch.column("text").to_pylist()
             row, col, val = held.value.rows(texts)
-            edge = np.searchsorted(row, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(col)), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(val))], names=["doc_id", "label", "col", "val"]
-            )
+            edge = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (col, val)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("labels"), *lists], names=["doc_id", "labels", "col", "val"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, label int, col array<long>, val array<double>").toPandas().sort_values("doc_id")
+    got = rows.mapInArrow(sparse, "doc_id long, labels array<int>, col array<long>, val array<double>").toPandas().sort_values("doc_id")
     sizes = got["col"].map(len).to_numpy()
     x = (np.repeat(np.arange(len(got)), sizes), np.concatenate([*got["col"], np.zeros(0)]).astype(np.int64), np.concatenate([*got["val"], np.zeros(0)]))
-    hits = np.bincount(x[0], np.expm1(x[2]) * np.isin(x[1], list(marked)), len(got))
-    y = got["label"].to_numpy() > 0
-    labelled = np.stack([y & (hits >= least) for least in CATEGORIES.values()], 1)
-    return Model(bag, Chain(x, labelled, len(bag.known), np.arange(len(got)) % FOLDS), list(CATEGORIES))
+    y = np.array(got["labels"].tolist()).reshape(-1, len(columns)) > 0
+    if len(columns) == 1:
+        hits = np.bincount(x[0], np.expm1(x[2]) * np.isin(x[1], list(marked)), len(got))
+        y = np.stack([y[:, 0] & (hits >= least) for least in CATEGORIES.values()], 1)
+    return Model(bag, Chain(x, y, len(bag.known), np.arange(len(got)) % FOLDS), names)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = None, columns: tuple[str, ...] = ("toxic",)) -> DataFrame:
     """doc_id, p_<category> for each category of the chain, and ``toxic``: whether the last one is 0.5 or more.
 
     A null or empty text has the probabilities of a text without terms; every row is scored for itself, whatever shares its id. Without
     labels of both kinds to learn from, all probabilities are 0.5 and nothing is called toxic. Other columns are not read.
     """
-    model = train(docs, labels, held_out=held_out)
+    model = train(docs, labels, columns, held_out)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"p_{c}" for c in model.categories]
     learned = bool(model.bag.known)

@@ -52,3 +52,38 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.toxic for r in got}[3] and {r.doc_id: r.toxic for r in got}[None] and not {r.doc_id: r.toxic for r in got}[5]
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
     assert not any(r.toxic for r in toxicity.toxicity(docs, labels.limit(0)).collect())
+
+
+def test_chain_of_label_columns_beats_independent_models(spark):
+    """The second category needs the first, which any number of many words tells; fitted to the same rows, held against others."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for k in range(1200):
+        n = int(rng.choice([0, 1, 8]))
+        flip = rng.random() < 0.5
+        words = [f"n{rng.integers(60)}" for _ in range(8)] + [f"mark{j}" for j in rng.choice(30, n, replace=False)] + ["flip"] * int(flip)
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(n > 0), int(n > 0 and flip)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks[:600], "doc_id long, insult int, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(docs, labels, columns=("insult", "toxic")).collect()}
+    assert set(out[0].asDict()) == {"doc_id", "p_insult", "p_toxic", "toxic"}
+    model = toxicity.train(docs, labels, ("insult", "toxic"))
+    texts = [t.encode() for _, t in rows]
+    y = np.array([[m[1], m[2]] for m in marks]) > 0
+    alone = toxicity.Chain(model.bag.rows(texts[:600]), y[:600, 1:], len(model.bag.known), np.arange(600) % toxicity.FOLDS).probabilities(model.bag.rows(texts), 1200)[600:, 0]
+    chain = np.array([out[k].p_toxic for k in range(600, 1200)])
+    loss = lambda p: -np.log(np.clip(np.where(y[600:, 1], p, 1 - p), 1e-9, 1)).mean()
+    print(loss(chain), loss(alone))
+    assert loss(chain) < loss(alone)
+    assert np.mean([out[k].toxic == y[k, 1] for k in range(600, 1200)]) > 0.9
+
+
+def test_the_least_text_of_an_id_is_learned_from(spark):
+    rows = [(k, ("bad " if k % 2 else "fine ") * 5) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    more = one.union(spark.createDataFrame([(k, "zzz other words") for k in range(40)], "doc_id long, text string"))
+    want = {r.doc_id: round(r.p_toxic, 9) for r in toxicity.toxicity(one, labels).collect()}
+    got = {(r.doc_id, round(r.p_toxic, 9)) for r in toxicity.toxicity(more.repartition(7), labels).collect()}
+    assert set(want.items()) <= got
