@@ -101,7 +101,7 @@ def _sources(sized: DataFrame) -> DataFrame:
     return sized.sparkSession.createDataFrame(rows, schema)
 
 
-def placed(docs: DataFrame, sized: DataFrame) -> tuple[DataFrame, int]:
+def placed(docs: DataFrame, sized: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
     """``docs`` (with doc_id, source, size) with the columns of the plan, and the words of a block.
 
     The plan: source_size, target, _at (first place in the stream), _n (blocks of the shard), _full (times that all of them are
@@ -110,7 +110,7 @@ def placed(docs: DataFrame, sized: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     sources = _sources(sized)
     listed = sources.collect()
-    block = block_words([r.source_size for r in listed])
+    block = block or block_words([r.source_size for r in listed])
 
     def dealt(df: DataFrame) -> DataFrame:
         h = _place(F.col("size"))
@@ -155,16 +155,17 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.n_words(F.col("text")).alias("size"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, block: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document.
 
     A null text has size 0 and gives nothing; a null source is a source of its own, after the others. Rows that share an id are placed
-    each for itself. Reruns take the same words, however the rows are dealt out. Other columns are not read.
+    each for itself. Reruns take the same words, however the rows are dealt out. Other columns are not read. ``block``: words of a block;
+    if it is not given, ``block_words`` of the sources' sizes.
     """
     sized = common.saved(_sized(docs), "mix-sizes")
     if sized.isEmpty():
         return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    plan, block = placed(sized, sized)
+    plan, block = placed(sized, sized, block)
     return plan.select("doc_id", "size", "source_size", "target", taken(block).alias("taken"))
 
 
@@ -178,15 +179,14 @@ def chosen_ranges(at: int, size: int, n: int, more: int, phase: int, block: int)
     return out
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, block: int | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document as often as all its blocks are taken, and one row with
     the words of the blocks that are taken once more (stretches that don't touch are parted by a line end). What gives no word goes."""
     sized = common.saved(_sized(docs), "mix-sizes")
     if sized.isEmpty():
         return docs.limit(0)
-    own = docs.withColumn("_size", common.n_words(F.col("text")))
-    keyed = own.select(F.struct(*[own[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size"))
-    plan, block = placed(keyed, sized)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", common.n_words(F.col("text")).alias("size"))
+    plan, block = placed(keyed, sized, block)
     schema = docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

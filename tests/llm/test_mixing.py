@@ -96,3 +96,14 @@ def test_mixed_rows_hold_what_the_plan_takes(spark):
         assert r.n_chars == len(r.text)
         assert all(part in whole[r.doc_id] for part in r.text.split("\n"))
     assert dict(got) == {k: v for k, v in plan.items() if v}
+
+
+def test_clashing_columns_and_a_given_block(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(50 + k)), "ab"[k % 2], k, "x", 1.5) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _row string, target double")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and all(r._size == r.doc_id and r._row == "x" for r in out.collect())
+    got = mixing.mix(docs, block=10).collect()
+    words = {s: sum(r.taken for r in got if "ab"[r.doc_id % 2] == s) for s in "ab"}
+    goal = {"ab"[r.doc_id % 2]: r.target for r in got}
+    assert all(abs(words[s] - goal[s]) <= 30 for s in "ab")
