@@ -19,13 +19,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm import common, connected, shingles, signature_tree
 
 SKETCH_BITS, SEGMENTS = 21, 32
-LIST, BLOCK = 1024, 1024
+LIST, BLOCK = 1024, 256
 CHUNK_MEMBERS = 1_500_000
 _DOC = "doc_id long, n_shingles long, cid long, bitmap binary, segment int, counts binary"
 
@@ -356,13 +357,8 @@ def _exact(docs: DataFrame, classes: DataFrame, coarse: DataFrame) -> DataFrame:
     return connected.extended(labels, joined(members.unionByName(probes).drop("blocks", "pieces", "main")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least id reachable by links) of every document.
-
-    Two documents link if 100 * intersection >= 80 * union of their sets of distinct word 5-grams (A-Z in lower case; a text of fewer
-    words has all of them as its one member). A text without words has an empty set and links with nothing: its component is its own id.
-    Rows that share an id each link by their own text. A row without id has no links and no component. Other columns are not read.
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, cid (the class of its set; null: empty), label (of its component; null: no id or no set), least (id there)."""
     docs = docs.select("doc_id", "text")
     described = common.saved(_binary(docs).mapInArrow(_describe, _DOC), "described")
     table = described.where("segment is null").select("doc_id", "n_shingles", "cid")
@@ -372,23 +368,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     coarse = _candidates(docs.where("doc_id is not null"), described, signed).select(F.col("node").alias("cid"), F.col("label").alias("coarse"))
     labels = _exact(docs, classes, coarse).withColumnRenamed("node", "cid")
     joined = classes.select("cid", "first_doc").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of = common.saved(joined.join(least, "label").select("cid", "component_id"), "components")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return table.join(of, "cid", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    least = joined.groupBy("label").agg(F.min("first_doc").alias("least"))
+    of = common.saved(joined.join(least, "label").select("cid", "label", "least"), "components")
+    return table.join(of, "cid", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least id reachable by links) of every document.
+
+    Two documents link if 100 * intersection >= 80 * union of their sets of distinct word 5-grams (A-Z in lower case; a text of fewer
+    words has all of them as its one member). A text without words has an empty set and links with nothing: its component is its own id.
+    Rows that share an id each link by their own text. A row without id has no links and no component. Other columns are not read.
+    """
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return _classified(docs).select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a component with a lesser id; of rows with one id and one text, one. All columns stay.
+    """One document of each component: that with the least id; all columns stay, whatever their names.
 
-    Rows without id stay, as do texts without words.
+    Rows without id stay. Of rows that share an id each goes or stays by its own text: it goes if its component has a lesser id; of rows
+    with one id in one component, that with the least text stays, and of those without words, one.
     """
-    found = near_duplicates(docs)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = common.saved(_classified(docs).where("doc_id is not null"), "classified")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    gone = found.where("least < doc_id").select(F.col("doc_id").alias("id"))
+    rows = docs.where("doc_id is not null").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    nameless = docs.where("doc_id is null")  # apart, as a join would deal them to one task
     if again.isEmpty():
-        return kept
+        return rows.join(gone.hint("shuffle_hash"), "id", "left_anti").select("row.*").union(nameless)
     again = common.saved(again, "repeated-ids")
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = gone.join(again, "id", "left_anti")
+    once = rows.join(gone.union(again).hint("shuffle_hash"), "id", "left_anti").select("row.*")
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("shingles")
+        for batch in batches:
+            sets = [shingles.shingles(t.as_py()) for t in batch.column("text")]
+            cid = pa.array([shingles.set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), cid], names=["row", "id", "cid"])
+
+    several = rows.join(again, "id").select("row", "id", F.col("row.text").cast("binary").alias("text"))
+    shape = T.StructType([several.schema["row"], T.StructField("id", T.LongType()), T.StructField("cid", T.LongType())])
+    own = several.mapInArrow(classes, shape)
+    of = found.join(again.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("_id"), F.col("cid").alias("_cid"), "label", "least").distinct()
+    kept = own.join(of, (F.col("id") == F.col("_id")) & F.col("cid").eqNullSafe(F.col("_cid"))).where("least is null or least >= id")
+    order = Window.partitionBy("id", "label").orderBy("row.text", F.xxhash64(F.col("row").cast("string")))  # rows of one id
+    return once.union(kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").select("row.*")).union(nameless)

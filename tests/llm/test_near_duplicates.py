@@ -105,3 +105,14 @@ def test_blocks_and_parts_lose_no_link(spark, monkeypatch, seed, small):
     assert got(docs.repartition(4)) == want
     kept = {r.doc_id for r in near_duplicates.one_of_each(docs).collect()}
     assert kept == {d for d, _, c in want if d == c}
+
+
+def test_one_of_each_decides_by_row_and_keeps_columns(spark):
+    a, b, c = ("one two three four five six " + x for x in ("seven eight", "seven EIGHT", "nine ten eleven twelve thirteen fourteen fifteen sixteen"))
+    rows = [(1, a), (7, b), (7, c), (7, c), (None, a), (None, a), (8, None), (8, ""), (9, c), (3, "unlike any other text of this table here"), (3, "unlike any other text of this TABLE here")]
+    docs = spark.createDataFrame([(*r, k, "x", 0, True) for k, r in enumerate(rows)], "doc_id long, text string, _gone int, _again string, id int, row boolean")
+    out = near_duplicates.one_of_each(docs)
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert found == sorted([(1, a), (7, c), (None, a), (None, a), (8, None), (3, "unlike any other text of this TABLE here")], key=str)
+    assert near_duplicates.one_of_each(docs.limit(0)).collect() == []
