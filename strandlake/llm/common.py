@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -40,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = keep(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v"))
         common.drop_saved(state)
         state = new
+    else:
+        raise RuntimeError(f"components are not complete after {ROUNDS} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return common.saved(state.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots).coalesce(few), "labels")
 

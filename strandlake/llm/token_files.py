@@ -135,9 +135,11 @@ def encoder(path: str) -> Encoder:
 
 
 def filesystem(uri: str):
+    """The file system and path of a URI; Spark's names of the S3 connector are those of the same store."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1) if "://" in uri else ("", uri)
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, most: int = 6 << 20) -> Iterator[tuple[list, list]]:
