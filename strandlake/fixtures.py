@@ -75,8 +75,9 @@ def utr3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seqid, s, e): candidate background intervals derived from orders."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    n = table(spark, sf_dir, "documents").count()
     s = F.lit(1) + (F.col("o_custkey") * 31 + F.col("o_orderkey") * 17) % 400
-    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 150).alias("seqid"), s.alias("s"), (s + 4 + F.floor("o_totalprice").cast("long") % 12).alias("e"))
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % n).alias("seqid"), s.alias("s"), (s + 4 + F.floor("o_totalprice").cast("long") % 12).alias("e"))
 
 
 SQL = {
@@ -92,7 +93,7 @@ SQL = {
     "exon_ends": "SELECT DISTINCT seqid, end_pos AS exon_end FROM features WHERE type = 'exon'",
     "utr5": "SELECT c.seqid, x.exon_start - 1 AS s, c.start_pos - 1 AS e FROM cds_starts c ASOF JOIN exon_starts x ON c.seqid = x.seqid AND c.start_pos >= x.exon_start WHERE c.start_pos - x.exon_start > 3 AND c.start_pos - x.exon_start < 1600",
     "utr3": "SELECT c.seqid, c.end_pos - 1 AS s, x.exon_end - 1 AS e FROM cds_ends c ASOF JOIN exon_ends x ON c.seqid = x.seqid AND c.end_pos < x.exon_end WHERE x.exon_end - c.end_pos > 3 AND x.exon_end - c.end_pos < 16000",
-    "candidates": "SELECT o_orderkey AS id, o_orderkey % 150 AS seqid, 1 + (o_custkey * 31 + o_orderkey * 17) % 400 AS s, 1 + (o_custkey * 31 + o_orderkey * 17) % 400 + 4 + CAST(floor(o_totalprice) AS BIGINT) % 12 AS e FROM orders",
+    "candidates": "SELECT o_orderkey AS id, o_orderkey % (SELECT count(*) FROM documents) AS seqid, 1 + (o_custkey * 31 + o_orderkey * 17) % 400 AS s, 1 + (o_custkey * 31 + o_orderkey * 17) % 400 + 4 + CAST(floor(o_totalprice) AS BIGINT) % 12 AS e FROM orders",
 }
 
 

@@ -11,5 +11,7 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
     return df.checkpoint()

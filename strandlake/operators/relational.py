@@ -49,9 +49,8 @@ def threshold(score: Column, at: float = 0.5, closed: bool = False) -> Column:
 
 
 def encoded(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Labels as numbers from 0 in their sorted order; the table of labels is small and checked to be so by Catalyst."""
-    labels = df.select(column).distinct().withColumn(out, F.row_number().over(W.orderBy(column)) - 1)
-    return df.join(labels, column)
+    """Labels as numbers from 0 in their sorted order, however many there are."""
+    return df.join(numbered(df.select(column).distinct(), [column], out).withColumn(out, F.col(out).cast("int")), column)
 
 
 def grid(spark, axes: dict[str, tuple[float, float, float]]) -> DataFrame:

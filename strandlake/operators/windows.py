@@ -26,9 +26,16 @@ def centred(seq: Column, pos: Column, width: Column) -> Column:
 
 
 def scan(regions: DataFrame, sequences: DataFrame, widths: list[int], step: int, by: str = "seqid") -> DataFrame:
-    """(id, by, pos, window, sub): every window at every place around every region."""
-    grid = windows(positions(regions, step), widths)
-    return grid.join(sequences.select(by, "seq"), by).select("id", by, "pos", "window", centred(F.col("seq"), F.col("pos"), F.col("window")).alias("sub"))
+    """(id, by, pos, window, sub): every window at every place around every region.
+
+    What a region's windows can read is cut from the sequence once; places and windows are then made on that short stretch.
+    """
+    size, reach = F.col("e") - F.col("s"), max(widths, default=0) // 2
+    first = F.greatest(F.col("s") - 2 * size - reach, F.lit(0))
+    near = regions.where(size > 0).join(sequences.select(by, "seq"), by)
+    near = near.select("id", by, "s", "e", first.cast("long").alias("_first"), cut(F.col("seq"), first, F.col("e") + 2 * size + reach).alias("_near"))
+    grid = windows(positions(near, step), widths)
+    return grid.select("id", by, "pos", "window", centred(F.col("_near"), F.col("pos") - F.col("_first"), F.col("window")).alias("sub"))
 
 
 def by_position(scored: DataFrame, score: str = "score", id: str = "id") -> DataFrame:

@@ -70,11 +70,14 @@ def other_classifier(name: str, label: str = "target"):
 
 
 def candidates(n: int = 10, seed: int = 0) -> list[Svm]:
-    """Random parameters: C in [1, 201], tol in [0, 0.1], both kernels and gammas, four maps of class weights."""
+    """Random parameters: C in [1, 201], tol in [0, 0.1], both kernels and gammas, four maps of class weights.
+
+    The shape of the decision function is drawn and kept too; with two classes it changes nothing.
+    """
     rng = np.random.default_rng(seed)
-    weights = [{0: 1.0, 1: 1.0}, {0: 1.0, 1: 2.0}, {0: 2.0, 1: 1.0}, {0: 1.0, 1: 5.0}]
+    weights = [{0: 1.0, 1: 1.0}, {0: 1.0, 1: 2.0}, {0: 1.0, 1: 3.0}, {0: 2.0, 1: 1.0}]  # fixed values
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    return [Svm(C=float(1 + 200 * rng.random()), tol=float(0.1 * rng.random()), kernel=pick(["linear", "rbf"]), gamma=pick(["scale", "auto"]), class_weight=pick(weights)) for _ in range(n)]
+    return [Svm(C=float(1 + 200 * rng.random()), tol=float(0.1 * rng.random()), kernel=pick(["linear", "rbf"]), gamma=pick(["scale", "auto"]), class_weight=pick(weights), decision_function_shape=pick(["ovo", "ovr"])) for _ in range(n)]
 
 
 def search(df: DataFrame, n: int = 10, folds: int = 5, seed: int = 0, jobs: int = 4, id: str = "id", label: str = "target") -> tuple[Svm, list[dict]]:

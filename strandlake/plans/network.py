@@ -18,16 +18,17 @@ def one_hot(segments: list[str]) -> np.ndarray:
     return np.eye(len(ALPHABET), dtype=np.float32)[codes]
 
 
-def forward(x: np.ndarray, convolutions: list[tuple[np.ndarray, np.ndarray]], dense: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Parallel 1-D convolutions (weights [width, 4, channels], bias), ReLU, maximum over places, dense layers with ReLU between, sigmoid."""
+def forward(x: np.ndarray, convolutions: list[tuple[np.ndarray, np.ndarray, int]], dense: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Parallel 1-D convolutions (weights [width, 4, channels], bias, padding by zeros at either end), ReLU, maximum over places, and dense
+    layers with a sigmoid after each."""
     pooled = []
-    for w, b in convolutions:
-        views = np.lib.stride_tricks.sliding_window_view(x, w.shape[0], axis=1)  # [n, places, 4, width]
+    for w, b, padding in convolutions:
+        padded = np.pad(x, ((0, 0), (padding, padding), (0, 0)))
+        views = np.lib.stride_tricks.sliding_window_view(padded, w.shape[0], axis=1)  # [n, places, 4, width]
         pooled.append(np.maximum(np.einsum("npcw,wck->npk", views, w) + b, 0).max(1))
     h = np.concatenate(pooled, 1)
-    for k, (w, b) in enumerate(dense):
-        h = h @ w + b
-        h = np.maximum(h, 0) if k + 1 < len(dense) else 1 / (1 + np.exp(-h))
+    for w, b in dense:
+        h = 1 / (1 + np.exp(-(h @ w + b)))
     return h[:, 0]
 
 

@@ -298,11 +298,11 @@ def column_bounds(spark, d):  # A12
     return t.agg(F.min("l_quantity").alias("q_min"), F.max("l_quantity").alias("q_max"), F.min("l_extendedprice").alias("p_min"), F.max("l_extendedprice").alias("p_max"))
 
 
-_SCORES = "SELECT vec_id, label, list_transform(embedding[1:50], lambda x: CAST(abs(x) AS DOUBLE)) AS scores FROM embeddings"
+_SCORES = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE)) AS scores FROM embeddings"
 
 
 def _scores(spark, d):
-    return fx.table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 50), lambda x: F.abs(x.cast("double"))).alias("scores"))
+    return fx.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("scores"))
 
 
 @query(f"SELECT vec_id, round(CASE WHEN 10 + list_sum(scores) > 0 THEN 2 * list_sum(scores[21:30]) / (10 + list_sum(scores)) ELSE 0 END, 6) AS dice FROM ({_SCORES})")
@@ -340,10 +340,10 @@ def best_of(spark, d):  # O5
     return stats.best(fx.table(spark, d, "orders"), "o_totalprice", "o_orderkey")
 
 
-@query("SELECT id, segment, '1' AS label FROM (SELECT id, substring(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS segment FROM candidates JOIN contigs USING (seqid)) UNION ALL SELECT doc_id, substring(seq, 1, 20), '0' FROM sequences")
+@query("SELECT id, segment, '1' AS label FROM (SELECT id, substring(seq, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS segment FROM candidates JOIN contigs USING (seqid)) UNION ALL SELECT doc_id, seq, '0' FROM sequences")
 def union_segments(spark, d):  # U2, P10
     a = fx.candidates(spark, d).join(fx.contigs(spark, d), "seqid").select("id", segments.cut(F.col("seq"), F.col("s"), F.col("e")).alias("segment"), F.lit("1").alias("label"))
-    b = fx.sequences(spark, d).select(F.col("doc_id").alias("id"), F.substring("seq", 1, 20).alias("segment"), F.lit("0").alias("label"))
+    b = fx.sequences(spark, d).select(F.col("doc_id").alias("id"), F.col("seq").alias("segment"), F.lit("0").alias("label"))
     return a.unionByName(b)
 
 
@@ -373,11 +373,11 @@ def segment_mask(spark, d):  # F11
     return _context(spark, d).select("id", F.posexplode("mask").alias("i", "bit"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 8 THEN substring(seq, 1, 2) || '[' || substring(seq, 3, 4) || ']' || substring(seq, 7) ELSE seq END AS shown FROM (SELECT doc_id, substring(seq, 1, 20) AS seq, least(length(seq), 20) AS n FROM sequences)")
+@query("SELECT doc_id, CASE WHEN n >= 8 THEN substring(seq, 1, 2) || '[' || substring(seq, 3, 4) || ']' || substring(seq, 7) ELSE seq END AS shown FROM (SELECT doc_id, seq, length(seq) AS n FROM sequences)")
 def bracketed_mask(spark, d):  # F12
-    t = fx.sequences(spark, d).select("doc_id", F.substring("seq", 1, 20).alias("seq"))
+    t = fx.sequences(spark, d)
     n = F.length("seq")
-    ones = F.transform(F.slice(F.sequence(F.lit(0), F.lit(19)), 1, n), lambda i: ((n >= 8) & (i >= 2) & (i < 6)).cast("int"))
+    ones = F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda i: ((n >= 8) & (i >= 2) & (i < 6)).cast("int"))
     return t.select("doc_id", segments.bracketed(F.col("seq"), ones).alias("shown"))
 
 
@@ -386,19 +386,20 @@ def zero_masks(spark, d):  # F13
     return fx.table(spark, d, "documents").select("doc_id", F.posexplode(segments.zero_mask(12)).alias("i", "bit"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(c = 'A' AS FLOAT) AS a, CAST(c = 'C' AS FLOAT) AS c, CAST(c = 'G' AS FLOAT) AS g, CAST(c = 'T' AS FLOAT) AS t FROM (SELECT doc_id, i, substring(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, least(length(seq), 30) + 1)) AS i FROM sequences))")
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(c = 'A' AS FLOAT) AS a, CAST(c = 'C' AS FLOAT) AS c, CAST(c = 'G' AS FLOAT) AS g, CAST(c = 'T' AS FLOAT) AS t FROM (SELECT doc_id, i, substring(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM sequences))")
 def one_hot(spark, d):  # F14
-    t = fx.sequences(spark, d).select("doc_id", F.posexplode(segments.one_hot(F.substring("seq", 1, 30))).alias("i", "v"))
+    t = fx.sequences(spark, d).select("doc_id", F.posexplode(segments.one_hot(F.col("seq"))).alias("i", "v"))
     return t.select("doc_id", "i", *[F.col("v")[k].alias(c) for k, c in enumerate("acgt")])
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CASE WHEN i <= 16 - n THEN 0 ELSE strpos('ACGT', substring(seq, CAST(i - (16 - n) AS BIGINT), 1)) END AS code FROM (SELECT doc_id, substring(seq, 1, 16) AS seq, least(length(seq), 16) AS n, unnest(range(1, 17)) AS i FROM sequences)")
-def padded_codes(spark, d):  # F15
-    t = fx.sequences(spark, d).select("doc_id", F.posexplode(segments.padded_codes(F.substring("seq", 1, 16), 16)).alias("i", "code"))
-    return t.withColumn("code", F.col("code").cast("long"))
+@query("SELECT doc_id, lpad(translate(seq, 'ACGT', '1234'), CAST((SELECT max(length(seq)) FROM sequences) AS INTEGER), '0') AS codes FROM sequences")
+def padded_codes(spark, d):  # padded to the longest sequence; the codes as digits
+    t = fx.sequences(spark, d)
+    width = t.agg(F.max(F.length("seq"))).first()[0] or 0
+    return t.select("doc_id", F.array_join(segments.padded_codes(F.col("seq"), width).cast("array<string>"), "").alias("codes"))
 
 
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(scores[CAST(i // 4 AS BIGINT) + 1] * (1 - (i % 4) / 4.0) + scores[CAST(least(i // 4 + 1, 49) AS BIGINT) + 1] * (i % 4) / 4.0, 6) AS v FROM (SELECT vec_id, scores, unnest(range(0, 197)) AS i FROM ({_SCORES}))")
+@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(scores[CAST(i // 4 AS BIGINT) + 1] * (1 - (i % 4) / 4.0) + scores[CAST(least(i // 4 + 1, len(scores) - 1) AS BIGINT) + 1] * (i % 4) / 4.0, 6) AS v FROM (SELECT vec_id, scores, unnest(range(0, 4 * (len(scores) - 1) + 1)) AS i FROM ({_SCORES}))")
 def resampled_scores(spark, d):  # F16
     return _scores(spark, d).select("vec_id", F.posexplode(segments.resampled(F.col("scores"), 4)).alias("i", "v")).withColumn("v", F.round("v", 6))
 
@@ -587,6 +588,42 @@ def array_round_trip(spark, d):  # S5
     return files.read_arrays(spark, path).select("vec_id", F.posexplode("embedding").alias("i", "v"))
 
 
+@query(
+    """SELECT preset, CAST(c AS DOUBLE) AS c, gamma, kernel, CAST(weight AS DOUBLE) AS weight, shape, windows, most_5, most_3 FROM (VALUES ('end', 165.644051, 'auto', 'rbf', 2.0, 'ovo', '250,500,1000,2000', 1600, 16000), ('pipeline_end', 196.932498, 'auto', 'linear', 1.0, 'ovo', '250,500', 1600, 16000),
+    ('pipeline_start', 85.730960, 'scale', 'rbf', 2.0, 'ovo', '10,25', 1500, 15000), ('preprocessing', 9.5, 'scale', 'linear', 3.0, 'ovr', '10,25,50', 1600, 16000), ('start', 196.723668, 'auto', 'rbf', 1.0, 'ovr', '100', 1600, 16000))
+    AS t(preset, c, gamma, kernel, weight, shape, windows, most_5, most_3)"""
+)
+def configurations(spark, d):  # S6, S7, M7: presets through their files, one with the parameters of a search written back
+    import os
+    import tempfile
+
+    from strandlake.sources import config
+
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # read again by the driver alone
+        for name, preset in config.PRESETS.items():
+            path = os.path.join(folder, f"{name}.yaml")
+            config.save(preset, path)
+            if name == "preprocessing":
+                config.update_params(path, {"C": 9.5, "gamma": "scale", "kernel": "linear", "tol": 0.01, "class_weight": {0: 1.0, 1: 3.0}, "decision_function_shape": "ovr"})
+            c = config.load(path)
+            rows.append((name, round(c.svm.C, 6), c.svm.gamma, c.svm.kernel, float(c.svm.class_weight[1]), c.svm.decision_function_shape, ",".join(map(str, c.windows)), c.preprocess.most_5, c.preprocess.most_3))
+    return spark.createDataFrame(rows, "preset string, c double, gamma string, kernel string, weight double, shape string, windows string, most_5 int, most_3 int")
+
+
+@query()
+def network_scores(spark, d):  # D1: the forward pass with given weights
+    import numpy as np
+
+    from strandlake.plans import network
+
+    rng = np.random.default_rng(7)
+    convolutions = [(rng.normal(size=(w, 4, 64)), rng.normal(size=64), p) for w, p in ((5, 2), (9, 4))]
+    dense = [(rng.normal(size=(128, 32)) / 8, rng.normal(size=32)), (rng.normal(size=(32, 1)), rng.normal(size=1))]
+    found = fx.candidates(spark, d).join(fx.contigs(spark, d), "seqid").select("id", segments.cut(F.col("seq"), F.col("s"), F.col("e")).alias("segment")).where("length(segment) > 0")
+    return network.scored(found, convolutions, dense).select("id", F.round("probability", 6).alias("probability"))
+
+
 @query()
 def boundary_scan(spark, d):  # 3.1 - 3.3 end to end
     from strandlake.plans import pipeline

@@ -13,6 +13,7 @@ class Svm:
     kernel: str = "rbf"
     tol: float = 1e-3
     class_weight: dict[int, float] = field(default_factory=lambda: {0: 1.0, 1: 1.0})
+    decision_function_shape: str = "ovr"
 
 
 @dataclass
@@ -35,11 +36,14 @@ class Config:
     seed: int = 42
 
 
-#: Length limits of the two kinds of region, and samples, by preset. Fixed values.
+#: Length limits of the two kinds of region and samples; parameters, windows and step of the models of either boundary,
+#: by themselves and at the end of the whole pipeline.
 PRESETS = {
-    "preprocessing": Config(),
-    "start": Config(preprocess=Preprocess(50, 1500, 100, 15000, 2000)),
-    "end": Config(preprocess=Preprocess(50, 1500, 100, 15000, 2000)),
+    "preprocessing": Config(preprocess=Preprocess(16, 1600, 16, 16000, 2000)),
+    "start": Config(Svm(196.7236684465528, "auto", "rbf", 0.07805291762864555, {0: 1.0, 1: 1.0}, "ovr"), windows=[100], step=5),
+    "end": Config(Svm(165.64405117819743, "auto", "rbf", 0.062356369678597236, {0: 1.0, 1: 2.0}, "ovo"), windows=[250, 500, 1000, 2000], step=5),
+    "pipeline_start": Config(Svm(85.73095986778094, "scale", "rbf", 0.08917730007820798, {0: 1.0, 1: 2.0}, "ovo"), Preprocess(50, 1500, 100, 15000, 2000), [10, 25], 5),
+    "pipeline_end": Config(Svm(196.93249763961953, "auto", "linear", 0.024442559200160276, {0: 1.0, 1: 1.0}, "ovo"), windows=[250, 500], step=5),
 }
 
 

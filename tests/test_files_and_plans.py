@@ -31,8 +31,8 @@ def test_annotations(spark, tmp_path):
 
 def test_config(tmp_path):
     path = str(tmp_path / "c.yaml")
-    config.save(config.PRESETS["start"], path)
-    assert config.load(path) == config.PRESETS["start"]
+    config.save(config.PRESETS["pipeline_start"], path)
+    assert config.load(path) == config.PRESETS["pipeline_start"]
     config.update_params(path, {"C": np.float64(3.5), "kernel": "linear"})
     assert config.load(path).svm == config.Svm(C=3.5, kernel="linear") and config.load(path).preprocess.most_3 == 15000
 
