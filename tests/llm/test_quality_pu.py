@@ -18,7 +18,11 @@ def test_risk_separates_without_negatives():
     y = rng.random(3000) < 0.7
     u = np.where(y[:, None], rng.normal(1.5, 1, (3000, 1)), rng.normal(-1.5, 1, (3000, 1)))
     ones = lambda x: np.concatenate([x, np.ones((len(x), 1))], 1)
-    w, prior = quality_pu.fit(ones(p), ones(u))
+    x, half = ones(u), np.arange(len(u)) % 2
+    part = lambda k: x if k is None else x[half == k]
+    evaluate = lambda tasks: [quality_pu.sums(part(k), w) for w, k in tasks]
+    above = lambda tasks: [np.append(((part(k) @ w)[:, None] >= at).sum(0), len(part(k))) for w, k, at in tasks]
+    w, prior = quality_pu.fit(ones(p), evaluate, above)
     assert abs(prior - 0.7) < 0.08
     assert ((quality_pu.sigmoid(ones(u) @ w) >= 0.5) == y).mean() > 0.92
 
@@ -56,3 +60,21 @@ def test_odd_rows(spark):
     assert {r.score for r in quality_pu.quality(docs, labels.limit(0)).collect()} == {0.5}
     kept = quality_pu.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= 6
+
+
+def test_sums_over_the_cluster_equal_plain_ones(spark):
+    """The Newton steps' sums, and the minimum of the risk against plain gradient descent on the same rows."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = quality_pu.train(docs.repartition(5), labels)
+    marked = {r.doc_id for r in labels.collect() if r.quality == 1}
+    learned = [(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x = model.shape.matrix(np.array([quality_pu.features((t or "").encode()) for _, t in learned]))
+    p = x[[d in marked for d, _ in learned]]
+    w = model.weights
+    own = quality_pu.risk(p, model.prior)
+    total = quality_pu.sums(x, w)
+    own_at = lambda w, t: own(w, t[-1, 0] / len(x), t[:-1, -1] / len(x), t[:-1, :-1] / len(x))
+    value, gradient, _ = own_at(w, total)
+    assert total[-1, 1] == len(x) and total[-1, 0] / len(x) - model.prior * np.logaddexp(0, p @ w).mean() > -0.02
+    v = quality_pu.descend(lambda w: own_at(w, quality_pu.sums(x, w))[1], x.shape[1], 300)
+    assert value <= own_at(v, quality_pu.sums(x, v))[0] + 2e-3
