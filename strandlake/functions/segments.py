@@ -43,8 +43,15 @@ def zero_mask(length: Column | int) -> Column:
 def bracketed(segment: Column, ones: Column) -> Column:
     """The segment with brackets around the runs of ones. Raises where lengths differ."""
     letters = F.filter(F.split(segment, ""), lambda c: c != "")
-    marked = F.transform(letters, lambda c, i: F.concat(F.when((F.get(ones, i) == 1) & (F.coalesce(F.get(ones, i - 1), F.lit(0)) == 0), "[").otherwise(""), c, F.when((F.get(ones, i) == 1) & (F.coalesce(F.get(ones, i + 1), F.lit(0)) == 0), "]").otherwise("")))
-    return F.when(F.length(segment) == F.size(ones), F.array_join(marked, "")).otherwise(F.raise_error(F.lit("segment and mask differ in length")))
+
+    def marked(m: Column) -> Column:
+        bit = lambda i: F.coalesce(F.get(m, i), F.lit(0))
+        opens = lambda i: F.when((bit(i) == 1) & (bit(i - 1) == 0), "[").otherwise("")
+        closes = lambda i: F.when((bit(i) == 1) & (bit(i + 1) == 0), "]").otherwise("")
+        shown = F.array_join(F.transform(letters, lambda c, i: F.concat(opens(i), c, closes(i))), "")
+        return F.when(F.length(segment) == F.size(m), shown).otherwise(F.raise_error(F.lit("segment and mask differ in length")))
+
+    return F.transform(F.array(ones), marked)[0]  # the mask is a variable of a lambda: made once, not once for each letter
 
 
 def one_hot(segment: Column, alphabet: str = ALPHABET) -> Column:
