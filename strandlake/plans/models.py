@@ -35,7 +35,8 @@ class SvmModel:
         return df.withColumn("_x", array_to_vector(x))
 
     def fit(self, df: DataFrame) -> SvmModel:
-        size = df.select(F.size(self.features).alias("d")).first().d
+        y = F.col(self.label)
+        size, rows, low, high = df.agg(F.max(F.size(self.features)), F.count(F.lit(1)), F.min(y), F.max(y)).first()  # one pass for all of them
         if self.params.kernel == "rbf":
             var = df.select(F.explode(self.features).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
             gamma = 1 / (size * var) if self.params.gamma == "scale" else 1 / size
@@ -45,9 +46,7 @@ class SvmModel:
         weight = F.lit(1.0)
         for k, w in self.params.class_weight.items():
             weight = F.when(F.col(self.label) == k, float(w)).otherwise(weight)
-        rows = df.count()
-        seen = [r[0] for r in df.select(self.label).distinct().limit(2).collect()]
-        self.only = int(seen[0]) if len(seen) == 1 else None
+        self.only = int(low) if rows and low == high else None
         if self.only is not None:  # one class: nothing to part
             return self
         svc = LinearSVC(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / (max(self.params.C, 1e-9) * max(rows, 1)), tol=max(self.params.tol, 1e-6), maxIter=50, predictionCol="prediction", rawPredictionCol="_raw")
@@ -80,19 +79,18 @@ def candidates(n: int = 10, seed: int = 0) -> list[Svm]:
     return [Svm(C=float(1 + 200 * rng.random()), tol=float(0.1 * rng.random()), kernel=pick(["linear", "rbf"]), gamma=pick(["scale", "auto"]), class_weight=pick(weights), decision_function_shape=pick(["ovo", "ovr"])) for _ in range(n)]
 
 
-def search(df: DataFrame, n: int = 10, folds: int = 5, seed: int = 0, jobs: int = 4, id: str = "id", label: str = "target") -> tuple[Svm, list[dict]]:
-    """The parameters with the best mean F1 over the folds, and all results. Candidates run side by side; folds follow the ids."""
+def search(df: DataFrame, n: int = 10, folds: int = 5, seed: int = 0, jobs: int = 8, id: str = "id", label: str = "target") -> tuple[Svm, list[dict]]:
+    """The parameters with the best mean F1 over the folds, and all results. Folds follow the ids; fits run side by side."""
     df = df.withColumn("_fold", F.pmod(sampling.arithmetic(F.col(id), seed), F.lit(folds))).persist()
 
-    def run(params: Svm) -> dict:
-        scores = []
-        for k in range(folds):
-            model = SvmModel(params, label=label).fit(df.where(F.col("_fold") != k))
-            scores.append(stats.f1(model.transform(df.where(F.col("_fold") == k)), label, "prediction").first().f1)
-        return asdict(params) | {"f1": float(np.mean(scores))}
+    def run(job: tuple[Svm, int]) -> float:
+        params, k = job
+        model = SvmModel(params, label=label).fit(df.where(F.col("_fold") != k))
+        return stats.f1(model.transform(df.where(F.col("_fold") == k)), label, "prediction").first().f1
 
     tried = candidates(n, seed)
     with ThreadPoolExecutor(jobs) as pool:
-        results = list(pool.map(run, tried))
+        scores = list(pool.map(run, [(params, k) for params in tried for k in range(folds)]))
+    results = [asdict(params) | {"f1": float(np.mean(scores[i * folds : (i + 1) * folds]))} for i, params in enumerate(tried)]
     df.unpersist()
     return tried[max(range(len(tried)), key=lambda k: (results[k]["f1"], -k))], results
