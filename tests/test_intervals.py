@@ -93,3 +93,28 @@ def test_golden_tables(spark):
         assert intervals.without_overlap(keyed(a), keyed(b)).count() == ka
         assert intervals.without_overlap(keyed(b), keyed(a)).count() == kb
     assert [intervals.without_later_overlap(keyed(x)).count() for x in (first, start, last, end)] == [770, 1171, 1249, 1387]
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 1 << 14])
+def test_one_contig_in_bins(spark, width):
+    """As-of joins and ranks don't depend on the bins: matches lie in the same bin, bins away, or nowhere; keys and places may be null."""
+    rng = random.Random(width)
+    ref = [(1, rng.randrange(60, 400)) for _ in range(25)] + [(2, 5), (None, 3), (1, None)]
+    probe = [(1, rng.randrange(500)) for _ in range(60)] + [(2, 4), (2, 900), (3, 7), (None, 4), (1, None)]
+    r, p = frame(spark, ref, "k long, x long"), frame(spark, probe, "k long, p long")
+    xs = lambda k: [x for j, x in ref if j == k and x is not None]
+    known = [(k, at) for k, at in probe if k is not None and at is not None]
+    back = [(k, at, max(x for x in xs(k) if x <= at)) for k, at in known if any(x <= at for x in xs(k))]
+    ahead = [(k, at, min(x for x in xs(k) if x > at)) for k, at in known if any(x > at for x in xs(k))]
+    assert rows(intervals.asof_backward(p, r, "k", "p", "x", width)) == sorted(back)
+    assert rows(intervals.asof_forward(p, r, "k", "p", "x", width)) == sorted(ahead)
+    pairs = [(k, x, at) for k in (1, 2) for x, at in zip(sorted(xs(k)), sorted(at for j, at in known if j == k))]
+    assert rows(intervals.zipped(r, p, "k", "x", "p", width)) == sorted(pairs)
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 64])
+def test_codons_across_pieces(spark, size):
+    rng = random.Random(size)
+    seqs = [(k, "".join(rng.choice("ACGT") for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 4, 63, 64, 65, 66, 130])] + [(99, None)]
+    want = [(k, i, s[i : i + 3]) for k, s in seqs if s for i in range(len(s) - 2) if s[i : i + 3] in ("ATG", "TAA", "TGA")]
+    assert rows(intervals.codons(frame(spark, seqs, "seqid long, seq string"), ("ATG", "TAA", "TGA"), size=size)) == sorted(want)
