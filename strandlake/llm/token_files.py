@@ -118,7 +118,11 @@ class Encoder:
         each = size[code]
         after = np.cumsum(each)
         total = int(after[-1]) if len(after) else 0
-        ids = np.frombuffer(b"".join(packed), self.dtype)[np.repeat(start[code] - after + each, each) + np.arange(total)]
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        at = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64  # half the memory to go through where places fit
+        place = np.repeat((start[code] - after + each).astype(at), each)
+        place += np.arange(total, dtype=at)
+        ids = flat.take(place)
         edge = np.concatenate([[0], after])[offsets].tolist()
         return [a + ids[x:y].tobytes() for a, x, y in zip(first, edge, edge[1:])]
 
