@@ -114,3 +114,15 @@ def test_numbering_does_not_depend_on_partitions(spark):
     got = {r.id: r.row_id for r in relational.numbered(df.repartition(5), ["k", "id"]).collect()}
     order = sorted(range(500), key=lambda i: (i % 7, i))
     assert got == {i: n for n, i in enumerate(order)}
+
+
+def test_fixed_decimals_are_those_of_the_binary_value(spark):
+    rng = random.Random(5)
+    values = [0.2975, 0.0625, 0.1875, 0.3125, 0.9995, 0.9996, 2.5, 3.5, -0.0, -0.0001, -1.2345, 5e-324, 0.0005, 123456789.0005, 2.0**52 + 1, 2.0**62, 1e15 + 0.125]
+    values += [rng.randrange(1, 10**7) * 10.0 ** -rng.randrange(3, 6) + 0.0005 for _ in range(2000)] + [rng.random() * 10.0 ** rng.randrange(-5, 15) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), float("-inf"), None]], "x double")
+    out = df.select("x", *[relational.fixed(F.col("x"), k).alias(f"d{k}") for k in (0, 1, 3, 4)]).collect()
+    for r in out:
+        if r.x is not None and math.isfinite(r.x):
+            assert (r.d0, r.d1, r.d3, r.d4) == tuple(f"{r.x:.{k}f}" for k in (0, 1, 3, 4)), r
+    assert [r.d3 for r in out[-3:]] == ["nan", "-inf", None]
