@@ -126,3 +126,15 @@ def test_fixed_decimals_are_those_of_the_binary_value(spark):
         if r.x is not None and math.isfinite(r.x):
             assert (r.d0, r.d1, r.d3, r.d4) == tuple(f"{r.x:.{k}f}" for k in (0, 1, 3, 4)), r
     assert [r.d3 for r in out[-3:]] == ["nan", "-inf", None]
+
+
+def test_split_sizes_are_exact_and_no_row_is_lost(spark):
+    def rows(n, kind, first=0):
+        return [(first + k, kind) for k in range(n)]
+
+    data = rows(45, "a") + rows(85, "b", 100) + rows(15, "c", 1000) + rows(10, None, 2000) + [(None, "d")] + rows(4, "d", -9)
+    out = sampling.split(spark.createDataFrame(data, "id long, kind string"), 0.7, ["kind"], 42).collect()
+    train = {k: sum(r.kind == k and r.fold == "train" for r in out) for k in ("a", "b", "c", None, "d")}
+    assert sorted(map(str, ((r.id, r.kind) for r in out))) == sorted(map(str, data))
+    assert train == {"a": 32, "b": 60, "c": 11, None: 7, "d": 4}
+    assert next(r.fold for r in out if r.id is None) == "test"
