@@ -58,6 +58,22 @@ def test_models(spark):
         assert models.other_classifier(name).fit(x).transform(x).where("prediction = target").count() > 270
 
 
+def test_a_fit_reads_few_rows_in_one_task(spark):
+    from strandlake.plans.models import SvmModel
+    from strandlake.sources.config import Svm
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([([float(v)], int(v + rng.normal() > 0)) for v in rng.normal(size=400)], "features array<double>, target int").repartition(8).persist()
+    tracker = spark.sparkContext.statusTracker()
+    for kernel in ("linear", "rbf"):
+        spark.sparkContext.setJobGroup(kernel, kernel)
+        SvmModel(Svm(kernel=kernel)).fit(df)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(kernel) for s in tracker.getJobInfo(j).stageIds]
+        tasks = [s.numTasks for s in stages if s and s.numCompletedTasks]  # others are skipped
+        assert len(tasks) > 10 and sum(n > 1 for n in tasks) <= 4, tasks
+    spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_boundary_plan(spark):
     rng = np.random.default_rng(2)
     letters = lambda n, p: "".join(rng.choice(list("ACGT"), n, p=p))
