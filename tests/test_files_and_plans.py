@@ -129,3 +129,60 @@ def test_search_runs_with_all_draws_and_folds(spark, name, monkeypatch):
     monkeypatch.setattr(pipeline, "search", noted)
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert [(x.arguments["n"], x.arguments["folds"]) for x in asked] == [(10, 5)]
+
+
+def _objective(x, y, weight, c, plane):
+    """The mean weighted hinge loss and the penalty of the plane on columns of deviation 1, as LinearSVC has them."""
+    mean = (weight @ x) / weight.sum()
+    std = np.sqrt(weight @ (x - mean) ** 2 / (weight.sum() - (weight**2).sum() / weight.sum()))
+    hinge = np.maximum(1 - (2 * y - 1) * (x @ plane[:-1] + plane[-1]), 0)
+    return weight @ hinge / weight.sum() + ((plane[:-1] * std) ** 2).sum() / (2 * c * len(y))
+
+
+def test_fits_of_a_search_share_passes_and_reach_the_optimum(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from strandlake.operators import stats
+    from strandlake.plans import models
+    from strandlake.sources.config import Svm
+
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(size=(600, 2)), 1)  # with equal rows
+    labels = (values.sum(1) + rng.normal(size=600) > 0.8).astype(int)
+    df = spark.createDataFrame([(k, [float(v) for v in x], int(y), k % 3) for k, (x, y) in enumerate(zip(values, labels))], "id long, features array<double>, target int, _fold int").persist()
+    tried = [Svm(kernel=kind, gamma=gamma, C=c, tol=1e-6, class_weight=w) for kind, gamma, c, w in (("linear", "auto", 2.0, {0: 1.0, 1: 3.0}), ("rbf", "scale", 50.0, {0: 2.0, 1: 1.0}), ("rbf", "auto", 9.0, {0: 1.0, 1: 1.0}))]
+    folds = models._Folds(df, "target", 0)
+    scores = folds.scores(tried, 3)
+    for i, p in enumerate(tried):
+        train, test = df.where("_fold <> 0"), df.where("_fold = 0")
+        model = models.SvmModel(p).fit(train)
+        rows = model._inputs(train).select(vector_to_array("_x").alias("x"), "target").toPandas()
+        x, y = np.array(rows.x.tolist()), rows.target.to_numpy()
+        weight = np.array([p.class_weight[v] for v in y])
+        theirs = _objective(x, y, weight, p.C, np.append(model.model.coefficients.toArray(), model.model.intercept))
+        assert _objective(x, y, weight, p.C, folds.planes[3 * i]) <= theirs * 1.01, p
+        assert abs(scores[3 * i] - stats.f1(model.transform(test), "target", "prediction").first().f1) < 0.06, p
+    spark.sparkContext.setJobGroup("search", "search")
+    _, results = models.search(df.drop("_fold"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("search"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(results) == 10 and 0.5 < max(r["f1"] for r in results) <= 1
+    assert jobs < 400, jobs  # a fit of its own for each draw and fold took thousands
+
+
+def test_a_search_with_folds_of_one_class(spark):
+    from strandlake.plans import models
+
+    df = spark.createDataFrame([(k, [float(k)], int(k == 4)) for k in range(8)], "id long, features array<double>, target int")
+    _, results = models.search(df, n=3, folds=4)
+    assert len(results) == 3 and all(0 <= r["f1"] <= 1 for r in results)
+
+
+def test_fixtures_of_saved_tables_are_the_same(spark):
+    from strandlake import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    seqs = fx.contigs(spark, d).persist()
+    found = fx.features(spark, d, seqs).persist()
+    for view in (fx.utr3, fx.utr5):
+        assert sorted(map(tuple, view(spark, d, seqs, found).collect())) == sorted(map(tuple, view(spark, d).collect()))
